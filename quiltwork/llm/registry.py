@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltwork.functions.text import tidy_lang
-from quiltwork.llm import ledger, mixing, tokenizer
+from quiltwork.llm import copies, ledger, mixing, tokenizer
+from quiltwork.operators.manifest import valid_rows
 from quiltwork.sources.tables import table
 
 
@@ -30,8 +31,20 @@ def _mix(spark, d):
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))
 
 
+def _copies(spark, d):
+    return copies.find_copies(valid_rows(table(spark, d, "raw_examples")))
+
+
+def p2_records(spark, d):
+    """One record for each set of copies: its first row, and how many rows it stands for."""
+    first = _copies(spark, d)[1].withColumnRenamed("first", "row_id")
+    return table(spark, d, "raw_examples").select("row_id", "corpus", "task_id", "inputs", "targets").join(first, "row_id")
+
+
 def queries():
     return {
+        "p2_found": lambda spark, d: _copies(spark, d)[0],
+        "p2_records": p2_records,
         "p3_token_totals": p3_token_totals,
         "p3_updated_totals": p3_updated_totals,
         "p7_ids": lambda spark, d: tokenizer.encode(table(spark, d, "documents"), "doc_id", "text"),
