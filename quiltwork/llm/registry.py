@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltwork.functions.text import tidy_lang
-from quiltwork.llm import copies, ledger, mixing, tokenizer
+from quiltwork.llm import copies, defects, ledger, mixing, tokenizer
 from quiltwork.operators.manifest import valid_rows
 from quiltwork.sources.tables import table
 
@@ -47,6 +47,7 @@ def queries():
         "p2_records": p2_records,
         "p3_token_totals": p3_token_totals,
         "p3_updated_totals": p3_updated_totals,
+        "p4_found": lambda spark, d: defects.find_defects(table(spark, d, "raw_examples")),
         "p7_ids": lambda spark, d: tokenizer.encode(table(spark, d, "documents"), "doc_id", "text"),
         "p8_mix": lambda spark, d: _mix(spark, d)[0],
         "p8_shares": lambda spark, d: _mix(spark, d)[1],
