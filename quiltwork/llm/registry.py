@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltwork.functions.text import tidy_lang
-from quiltwork.llm import copies, defects, ledger, mixing, tokenizer
+from quiltwork.llm import copies, defects, ledger, mixing, residue, tokenizer
 from quiltwork.operators.manifest import valid_rows
 from quiltwork.sources.tables import table
 
@@ -41,6 +41,17 @@ def p2_records(spark, d):
     return table(spark, d, "raw_examples").select("row_id", "corpus", "task_id", "inputs", "targets").join(first, "row_id")
 
 
+def p9_found(spark, d):
+    docs = table(spark, d, "documents")
+    return residue.find_residue(docs, residue.fit(docs)[0])
+
+
+def p9_validation(spark, d):
+    """One row: how the classifier does on hosts it has not seen, against the weak labels."""
+    report = residue.fit(table(spark, d, "documents"))[1]
+    return spark.createDataFrame([tuple(report.values())], "train_segments long, train_positive long, unseen_segments long, unseen_positive long, precision double, recall double")
+
+
 def queries():
     return {
         "p2_found": lambda spark, d: _copies(spark, d)[0],
@@ -51,6 +62,8 @@ def queries():
         "p7_ids": lambda spark, d: tokenizer.encode(table(spark, d, "documents"), "doc_id", "text"),
         "p8_mix": lambda spark, d: _mix(spark, d)[0],
         "p8_shares": lambda spark, d: _mix(spark, d)[1],
+        "p9_found": p9_found,
+        "p9_validation": p9_validation,
     }
 
 
