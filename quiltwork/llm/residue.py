@@ -104,7 +104,9 @@ def segments(text: str) -> list[tuple[str, int]]:
 
 def weak_label(segment: str, kind: int, text: str) -> int:
     """1 residue, -1 none, 0 unknown."""
-    plain = unicodedata.normalize("NFKC", segment)
+    if kind != 2 and "(" in segment and not _SPECIAL.search(segment) and _PART.search(segment):
+        return -1 if _TOPIC.search(segment) else 0
+    plain = segment if segment.isascii() else unicodedata.normalize("NFKC", segment)
     if kind == 2:
         m = MARK.search(plain)
         if m is None:
@@ -127,34 +129,41 @@ def weak_label(segment: str, kind: int, text: str) -> int:
     return 0
 
 
-_memo: dict[str, int] = {}
+class _Hashes(dict):
+    """Token -> hash of its folded form, all numbers alike; filled on demand and bounded."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        folded = "0" if token[0].isdigit() else unicodedata.normalize("NFKC", token).casefold()
+        found = self[token] = zlib.crc32(folded.encode("utf-8", "replace"))
+        return found
+
+
+_hash = _Hashes().__getitem__
+_tokens = _TOKEN.findall
 
 
 def _ids(tokens: list[str]) -> list[int]:
-    if len(_memo) > 1 << 18:
-        _memo.clear()
-    out = []
-    for t in tokens:
-        i = _memo.get(t)
-        if i is None:
-            folded = "0" if t[0].isdigit() else unicodedata.normalize("NFKC", t).casefold()
-            i = _memo[t] = zlib.crc32(folded.encode("utf-8", "replace"))
-        out.append(i)
-    return out
+    return list(map(_hash, tokens))
 
 
 def features(parts: list[tuple[str, int]], titles: list[frozenset[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment of each n-gram, its hash, dense features): words and pairs of neighbouring words; for each segment its
     length, the share of different words, whether it is the first line or a mark's window, its words in the title."""
-    ids, where, dense = [], [], np.zeros((len(parts), DENSE), np.float32)
-    for k, (segment, kind) in enumerate(parts):
-        own = _ids(_TOKEN.findall(_NUMBERED.sub("", segment) if kind == 0 else segment))
-        ids.extend(own)
-        where.extend([k] * len(own))
+    ids, sizes, rows = [], [], []
+    for (segment, kind), title in zip(parts, titles):
+        own = _ids(_tokens(_NUMBERED.sub("", segment) if kind == 0 and not segment[0].isalpha() else segment))
+        ids += own
         n = len(own)
+        sizes.append(n)
         kinds = set(own)
-        dense[k] = (np.log1p(n) / 4, len(kinds) / n if n else 0, kind == 1, kind == 2, len(kinds & titles[k]) / max(1, len(kinds)), n <= 3)
-    a, at = np.array(ids, np.uint64), np.array(where, np.int64)
+        rows.append((n, len(kinds), kind, len(kinds & title)))
+    shape = np.array(rows, np.float32).reshape(-1, 4)
+    n, kinds, kind, shared = shape.T
+    dense = np.stack([np.log1p(n) / 4, kinds / np.maximum(n, 1), kind == 1, kind == 2, shared / np.maximum(kinds, 1), n <= 3], axis=1).astype(np.float32)
+    where = np.repeat(np.arange(len(parts)), sizes)
+    a, at = np.array(ids, np.uint64), where
     both = at[1:] == at[:-1] if len(at) else np.zeros(0, bool)
     with np.errstate(over="ignore"):
         pairs = (a[:-1] * np.uint64(0x9E3779B1) + a[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
