@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltwork.functions.text import tidy_lang
-from quiltwork.llm import copies, defects, ledger, mixing, residue, tokenizer
+from quiltwork.llm import copies, defects, ledger, mixing, overlap, residue, tokenizer
 from quiltwork.operators.manifest import valid_rows
 from quiltwork.sources.tables import table
 
@@ -59,6 +59,8 @@ def queries():
         "p3_token_totals": p3_token_totals,
         "p3_updated_totals": p3_updated_totals,
         "p4_found": lambda spark, d: defects.find_defects(table(spark, d, "raw_examples")),
+        "p6_found": lambda spark, d: overlap.overlaps(table(spark, d, "mixture")),
+        "p6_report": lambda spark, d: overlap.overlap_report(overlap.overlaps(table(spark, d, "mixture")), table(spark, d, "mixture")),
         "p7_ids": lambda spark, d: tokenizer.encode(table(spark, d, "documents"), "doc_id", "text"),
         "p8_mix": lambda spark, d: _mix(spark, d)[0],
         "p8_shares": lambda spark, d: _mix(spark, d)[1],
