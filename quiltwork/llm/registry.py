@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltwork.functions.text import tidy_lang
-from quiltwork.llm import copies, defects, ledger, mixing, overlap, residue, tokenizer
+from quiltwork.llm import copies, defects, ledger, mixing, overlap, residue, subset, tokenizer
 from quiltwork.operators.manifest import valid_rows
 from quiltwork.sources.tables import table
 
@@ -52,6 +52,10 @@ def p9_validation(spark, d):
     return spark.createDataFrame([tuple(report.values())], "train_segments long, train_positive long, unseen_segments long, unseen_positive long, precision double, recall double")
 
 
+def _train(spark, d):
+    return table(spark, d, "mixture").filter("split = 'train'").select("mix_id", "prompt", "task_id", "stage2_method")
+
+
 def queries():
     return {
         "p2_found": lambda spark, d: _copies(spark, d)[0],
@@ -59,6 +63,8 @@ def queries():
         "p3_token_totals": p3_token_totals,
         "p3_updated_totals": p3_updated_totals,
         "p4_found": lambda spark, d: defects.find_defects(table(spark, d, "raw_examples")),
+        "p5_subset": lambda spark, d: subset.choose_k(_train(spark, d), 1000),
+        "p5_by_task": lambda spark, d: subset.choose_by_task(_train(spark, d), table(spark, d, "task_allocations")),
         "p6_found": lambda spark, d: overlap.overlaps(table(spark, d, "mixture")),
         "p6_report": lambda spark, d: overlap.overlap_report(overlap.overlaps(table(spark, d, "mixture")), table(spark, d, "mixture")),
         "p7_ids": lambda spark, d: tokenizer.encode(table(spark, d, "documents"), "doc_id", "text"),
