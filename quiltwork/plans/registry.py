@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quiltwork.plans import skew
+from quiltwork.plans import ingest, skew
 
-MODULES = (skew,)
+MODULES = (skew, ingest)
 FLAGSHIP = "p1_task_counts"
 
 
