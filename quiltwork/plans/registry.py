@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quiltwork.plans import ingest, skew
+from quiltwork.plans import ingest, skew, texts
 
-MODULES = (skew, ingest)
+MODULES = (skew, ingest, texts)
 FLAGSHIP = "p1_task_counts"
 
 
