@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quiltwork.plans import ingest, skew, texts
+from quiltwork.plans import assembly, ingest, io, selection, skew, texts
 
-MODULES = (skew, ingest, texts)
-FLAGSHIP = "p1_task_counts"
+MODULES = (skew, ingest, texts, selection, assembly, io)
+FLAGSHIP = "entry_allocation"
 
 
 def queries():
