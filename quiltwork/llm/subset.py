@@ -164,7 +164,8 @@ def ward(n: np.ndarray, ls: np.ndarray, k: int) -> np.ndarray:
             d[~alive] = np.inf
             d[i] = np.inf
             j = int(d.argmin())
-            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            # rounding must not let a chain turn in a circle: what is as near as the one before, to 1e-9, is the one before
+            if len(chain) > 1 and d[chain[-2]] <= d[j] + 1e-9 * (1 + d[j]):
                 j = chain[-2]
                 chain = chain[:-2]
                 merges.append((float(d[j]), i, j))
@@ -254,13 +255,13 @@ def choose(rows: DataFrame, key: str, sizes: dict[str, int], group: str | None,
 
     Each task keeps one tree a group, of at most max(least, entries x size) leaf entries; trees meet fan_in at a time
     until one is left a group, so no task ever holds more than fan_in trees of it, whatever the number of rows. Ward
-    linkage cuts the last tree into the wanted number of groups. A second pass finds, for each centre, the nearest of
+    linkage over the entries of the last tree, their sizes damped, gives the wanted number of groups. A second pass finds, for each centre, the nearest of
     the records that have it for their nearest centre (ties: smaller key); should centres stay without a record, records
     in seeded order make up the number. The centres are broadcast: sum(sizes) x 64 numbers. Groups without a size and
     empty tables give no rows; keys are unique.
     """
     wanted = {g: int(k) for g, k in sizes.items() if k and k > 0}
-    keep = rows.filter(F.coalesce(F.col(group).cast("string"), F.lit("")).isin(list(wanted))) if group else rows
+    keep = rows.filter(F.coalesce(F.col(group).cast("string"), F.lit("")).isin(list(wanted))) if group else rows if wanted else rows.limit(0)
     vecs = staged(vectors(keep, key, group, text, facets), "vectors")
     limit = {g: max(least, entries * k) for g, k in wanted.items()}
 
@@ -292,7 +293,8 @@ def choose(rows: DataFrame, key: str, sizes: dict[str, int], group: str | None,
     def finish(table: pa.Table) -> pa.Table:
         g = table.column("grp")[0].as_py()
         n, ls, _ = merge(table).entries()
-        centres = ward(n, ls, wanted[g])
+        damped = 1 + np.log(n)  # a crowd in one entry weighs little more than a single record
+        centres = ward(damped, ls * (damped / n)[:, None], wanted[g])
         return pa.table({"grp": pa.array([g] * len(centres)), "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary())})
 
     summary = vecs.select("grp", "vec").mapInArrow(summarise, _CF)
