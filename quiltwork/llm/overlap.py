@@ -107,6 +107,8 @@ def word_distance(a: list[str], b: list[str], most: int) -> int:
     if abs(len(a) - len(b)) > most:
         return most + 1
     far = most + 1
+    if len(a) * (2 * most + 1) > 200_000:
+        return _long_distance(a, b, most)
     before = [j if j <= most else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         low, high = max(1, i - most), min(len(b), i + most)
@@ -121,6 +123,25 @@ def word_distance(a: list[str], b: list[str], most: int) -> int:
     return min(before[-1], far)
 
 
+def _long_distance(a: list[str], b: list[str], most: int) -> int:
+    """word_distance of long lists, a row at a time: a row's insertions are a running minimum."""
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in (a, b))
+    steps = np.arange(len(y) + 1)
+    before = np.minimum(steps, most + 1)
+    for i, w in enumerate(x, 1):
+        low, high = max(0, i - most - 1), min(len(y), i + most)
+        now = np.full(len(y) + 1, most + 1)
+        part = np.minimum(before[low : high + 1] + 1, np.concatenate([[most + 1], before[low:high] + (y[low:high] != w)]))
+        if low == 0:
+            part[0] = min(i, most + 1)
+        now[low : high + 1] = np.minimum(np.minimum.accumulate(part - steps[low : high + 1]) + steps[low : high + 1], most + 1)
+        if now[low : high + 1].min() > most:
+            return most + 1
+        before = now
+    return int(min(before[-1], most + 1))
+
+
 def near(a: list[str], b: list[str], share: float = 0.125) -> bool:
     """At most about one word in eight of the longer record differs."""
     most = math.floor(max(len(a), len(b)) * share + 0.5)

@@ -43,6 +43,17 @@ def plain_distance(a, b):
 @given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9), st.integers(0, 6))
 def test_word_distance(a, b, most):
     assert overlap.word_distance(a, b, most) == min(plain_distance(a, b), most + 1)
+    if a and b and abs(len(a) - len(b)) <= most:
+        assert overlap._long_distance(a, b, most) == min(plain_distance(a, b), most + 1)
+
+
+def test_long_records():
+    rng = random.Random(6)
+    a = [rng.choice(NOUNS) for _ in range(6000)]
+    b = list(a)
+    for i in range(0, 6000, 12):
+        b[i] = "other"
+    assert overlap.near(a, b) and not overlap.near(a, [rng.choice(NOUNS) for _ in range(6000)])
 
 
 def test_overlaps_against_all_pairs(spark):

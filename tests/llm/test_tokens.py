@@ -77,7 +77,7 @@ def test_ledger_deltas(spark, monkeypatch):
 
 
 def test_sainte_lague():
-    assert mixing.sainte_lague([53, 24, 23], [99] * 3, 7) == [4, 2, 1]
+    assert mixing.sainte_lague([53, 24, 23], [99] * 3, 7) == [3, 2, 2]
     assert mixing.sainte_lague([0.5, 0.5], [10, 10], 3) == [2, 1]
     assert mixing.sainte_lague([0.9, 0.1], [2, 50], 10) == [2, 8]
     assert mixing.sainte_lague([0.9, 0.1, 0], [2, 3, 9], 10) == [2, 3, 0]
