@@ -65,8 +65,56 @@ def _candidates_compared(spark, d):
     return both.select("label", F.round(F.col("restricted") / F.col("exact"), 6).alias("ratio"), F.round(F.col("exact") - F.col("restricted"), 6).alias("regret"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
+def _divergence(spark, d):
+    """First rank at which the whole-pool and the candidate order of a label differ, and what kind of difference it is;
+    up to there both have the same prefix, so their recorded gains are gains over it."""
+    e = _emb(spark, d)
+    a = gr.order_within(e, "label", "vec_id", PICKS).select("label", "rank", F.col("vec_id").alias("a"), F.col("gain").alias("ga"))
+    b = gr.order_within(e, "label", "vec_id", PICKS, candidates=20).select("label", "rank", F.col("vec_id").alias("b"), F.col("gain").alias("gb"))
+    first = a.join(b, ["label", "rank"]).filter("a <> b").groupBy("label").agg(F.min_by(F.struct("rank", "ga", "gb"), "rank").alias("x"))
+    gap = F.abs(F.col("x.ga") - F.col("x.gb"))
+    kind = F.when(F.col("x").isNull(), "index_match").when(gap == 0, "exact_tie").when(gap <= 1e-10 + 1e-10 * F.greatest(F.lit(1.0), F.abs("x.ga")), "numerical_tie").otherwise("true_mismatch")
+    return e.select("label").distinct().join(first, "label", "left").select("label", F.col("x.rank").alias("first_rank"), kind.alias("kind"), F.round(F.col("x.ga") - F.col("x.gb"), 6).alias("gap"))
+
+
+def _checkpoints(spark, d):
+    """Objective, mean and least coverage after 1, 3 and 5 picks, recomputed from pairs, against the recorded objective."""
+    e = _emb(spark, d).select("label", "vec_id", vc.normalised(F.col("embedding")).alias("u"))
+    chosen = _selected(spark, d).select("label", "rank", "vec_id", "objective")
+    picked = chosen.join(e, ["label", "vec_id"]).select("label", "rank", "objective", F.col("u").alias("v"))
+    w = Window.partitionBy("label", "vec_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    run = e.join(picked, "label").select("label", "rank", "objective", "vec_id", vc.dot(F.col("u"), F.col("v")).alias("s")).withColumn("best", F.greatest(F.max("s").over(w), F.lit(0.0)))
+    out = run.filter(F.col("rank").isin(1, 3, 5)).groupBy("label", "rank").agg(F.max("objective").alias("recorded"), F.sum("best").alias("total"), F.avg("best").alias("mean"), F.min("best").alias("least"))
+    return out.select("label", "rank", F.round("total", 6).alias("objective"), F.round("mean", 6).alias("mean"), F.round("least", 6).alias("least"), vc.is_close_symmetric(F.col("recorded"), F.col("total"), 0.0, 1e-7).alias("agrees"))
+
+
+def _ordering_checks(spark, d):
+    """Length, ranks, uniqueness and finite gains of each label's ordering."""
+    o = _selected(spark, d)
+    return o.groupBy("label").agg((F.count("*") == PICKS).alias("length"), ((F.min("rank") == 1) & (F.max("rank") == F.count("*"))).alias("ranks"), (F.countDistinct("vec_id") == F.count("*")).alias("unique"), F.bool_and(~F.isnan("gain") & (F.abs("gain") < float("inf"))).alias("finite"))
+
+
+def _template_budgets(spark, d):
+    from quiltwork.operators import templates as tp
+
+    counts = tp.template_counts(tp.with_template(table(spark, d, "raw_examples").filter("is_object and inputs is not null and split = 'train'"), "inputs"), ["task_id"])
+    budgets = table(spark, d, "task_allocations").select("task_id", F.col("final_allocation_25000").alias("budget"))
+    return al.template_split(counts.join(budgets, "task_id")).select("task_id", "budget", *[f"{t}_budget" for t in tp.TYPES])
+
+
 def queries():
     return {
+        "dom_d15_fallback": lambda spark, d: gr.order_within(_emb(spark, d), "label", "vec_id", 1).select("label", "vec_id", F.round("gain", 6).alias("gain")),
+        "dom_d19_divergence": _divergence,
+        "dom_d20_checkpoints": _checkpoints,
+        "dom_d24_template_split": _template_budgets,
+        "dom_d26_engine": lambda spark, d: table(spark, d, "task_allocations").select("task_id", F.when(F.col("valid_train_count") <= 5000, "exact_dense").when(F.col("valid_train_count") * 1024 * 4 <= 2 * 2**30, "matrix_free").otherwise("distributed").alias("engine")),
+        "dom_d27_ordering_checks": _ordering_checks,
+        "join_j6_similar_pairs": lambda spark, d: (u := _emb(spark, d).select("label", "vec_id", vc.normalised(F.col("embedding")).alias("u"))).select("label", F.col("vec_id").alias("i"), F.col("u").alias("a")).join(u.select("label", F.col("vec_id").alias("j"), F.col("u").alias("b")), "label").filter("i < j").select("i", "j", vc.dot(F.col("a"), F.col("b")).alias("s")).filter("s >= 0.3").select("i", "j", F.round("s", 6).alias("s")),
+        "join_j7_rectangular": lambda spark, d: (u := _emb(spark, d).select("label", "vec_id", vc.normalised(F.col("embedding")).alias("u"))).join(u.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("j"), F.col("u").alias("v")), "label").groupBy("vec_id").agg(F.round(F.max(vc.dot(F.col("u"), F.col("v"))), 6).alias("best"), F.count("*").alias("n")),
+        "fn_c12_normalise": lambda spark, d: _emb(spark, d).select("vec_id", F.round(vc.norm(vc.normalised(F.transform("embedding", lambda x: x * 3))), 6).alias("norm"), vc.all_finite(F.col("embedding")).alias("finite")),
+        "fn_c14_close": lambda spark, d: table(spark, d, "task_allocations").select("task_id", vc.is_close(F.col("raw_allocation_25000"), F.col("normalized_weight") * 25000, 1e-8, 1e-10).alias("numpy"), vc.is_close_symmetric(F.col("raw_allocation_25000"), F.col("final_allocation_25000").cast("double"), 0.5, 1e-3).alias("math")),
+        "fn_c17_json_access": lambda spark, d: table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").alias("k")).groupBy("event_type").agg(F.count("k").alias("present"), F.countDistinct("k").alias("kinds")),
         "entry_allocation": lambda spark, d: allocations(spark, d, 50),
         "agg_a7_mean_vectors": lambda spark, d: vc.mean_vectors(_emb(spark, d), "label", digits=6).select("label", "n", F.explode("mean").alias("m")).groupBy("label", "n").agg(F.round(F.sum("m"), 4).alias("total"), F.count("*").alias("dims")),
         "agg_a9_norms": lambda spark, d: vc.norm_statistics(_emb(spark, d), "label"),
@@ -122,6 +170,15 @@ def oracle_sql():
         "dom_d3_kernel_checks": f"WITH k AS {kern} SELECT round(max(abs(a.s - b.s)), 6) AS asymmetry, round(max(CASE WHEN a.i = a.j THEN abs(a.s - 1) END), 6) AS diagonal FROM k a JOIN k b ON a.i = b.j AND a.j = b.i",
         "dom_d4_graph_cut": f"WITH RECURSIVE {cut} SELECT rank, label, round(gain, 6) AS gain, round(sum(gain) OVER (ORDER BY rank), 6) AS cumulative FROM g WHERE rank > 0",
         "dom_d7_facility_location": f"{fl} SELECT label, rank, vec_id, round(gain, 6) AS gain, round(objective, 6) AS objective FROM f WHERE rank > 0",
+        "dom_d15_fallback": f"{fl} SELECT label, vec_id, round(gain, 6) AS gain FROM f WHERE rank = 1",
+        "dom_d20_checkpoints": f"{fl} SELECT label, rank, round(sum(b), 6) AS objective, round(avg(b), 6) AS mean, round(min(b), 6) AS least, true AS agrees FROM (SELECT f.label, f.rank, s.i, greatest(max(s.s), 0) AS b FROM f JOIN s ON f.label = s.label AND list_contains(f.chosen, s.j) WHERE f.rank IN (1, 3, 5) GROUP BY ALL) GROUP BY label, rank",
+        "dom_d26_engine": "SELECT task_id, CASE WHEN valid_train_count <= 5000 THEN 'exact_dense' WHEN valid_train_count * 1024 * 4 <= 2147483648 THEN 'matrix_free' ELSE 'distributed' END AS engine FROM task_allocations",
+        "dom_d27_ordering_checks": f'{fl} SELECT label, count(*) = {PICKS} AS length, min(rank) = 1 AND max(rank) = count(*) AS ranks, count(DISTINCT vec_id) = count(*) AS "unique", bool_and(isfinite(gain)) AS finite FROM f WHERE rank > 0 GROUP BY label',
+        "join_j6_similar_pairs": f"SELECT i, j, round(s, 6) AS s FROM {sims} WHERE i < j AND s >= 0.3",
+        "join_j7_rectangular": f"SELECT i AS vec_id, round(max(s), 6) AS best, count(*) AS n FROM {sims} WHERE j % 50 = 0 GROUP BY i",
+        "fn_c12_normalise": "SELECT vec_id, 1.0::DOUBLE AS norm, true AS finite FROM embeddings",
+        "fn_c14_close": "SELECT task_id, abs(raw_allocation_25000 - normalized_weight * 25000) <= 1e-8 + 1e-10 * abs(normalized_weight * 25000) AS numpy, abs(raw_allocation_25000 - final_allocation_25000) <= greatest(1e-3 * greatest(abs(raw_allocation_25000), abs(final_allocation_25000)), 0.5) AS math FROM task_allocations",
+        "fn_c17_json_access": "SELECT event_type, count(k) AS present, count(DISTINCT k) AS kinds FROM (SELECT event_type, json_extract_string(props, '$.k') AS k FROM events) GROUP BY event_type",
         "dom_d12_certificate": f"{fl} SELECT label, rank, true AS certified FROM f WHERE rank > 0",
         "dom_d13_singletons": f"SELECT j AS vec_id, round(sum(s), 6) AS gain FROM {sims} GROUP BY j",
         "dom_d14_positivity": f"WITH u AS MATERIALIZED {unit}, c AS (SELECT label, list(m ORDER BY p) AS c FROM (SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM u) GROUP BY ALL) GROUP BY label), m AS (SELECT u.label, min(list_cosine_similarity(u.u, c.c)) AS m FROM u JOIN c ON u.label = c.label GROUP BY u.label) SELECT label, round(m, 6) AS least_cosine, round(CASE WHEN m > 0 THEN 2 * m * m - 1 ELSE -1.0 END, 6) AS bound, (m > 0 AND 2 * m * m - 1 > 1e-6) AS certified FROM m",
