@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +69,24 @@ def _remove(path: str) -> None:
 def input_partitions(df: DataFrame) -> int:
     """Number of partitions the plan of df starts from (planning only; nothing runs)."""
     return df.rdd.getNumPartitions()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once a context, so that they can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_quiltwork_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    paths = sorted(os.path.join(folder, name) for folder, _, names in os.walk(root) for name in names if name.endswith(".py"))
+    digest = hashlib.md5()
+    for path in paths:
+        with open(path, "rb") as f:
+            digest.update(path.encode() + f.read())
+    folder = tempfile.mkdtemp(prefix="quiltwork-code-")  # the driver serves the archive from here
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, f"quiltwork-{digest.hexdigest()}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in paths:
+            z.write(path, os.path.join("quiltwork", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._quiltwork_shipped = True
