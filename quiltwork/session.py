@@ -55,17 +55,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(path: str) -> None:
-    if path.startswith("file:"):
-        shutil.rmtree(path[path.index("/"):].replace("//", "/", 1), ignore_errors=True)
-    elif os.path.isabs(path):
-        shutil.rmtree(path, ignore_errors=True)
-
-
 def input_partitions(df: DataFrame) -> int:
     """Number of partitions the plan of df starts from (planning only; nothing runs)."""
     return df.rdd.getNumPartitions()
