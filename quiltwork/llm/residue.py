@@ -185,20 +185,21 @@ def train(parts: list[tuple[str, int]], titles: list[frozenset[int]], labels: np
     y = (labels > 0).astype(np.float64)
     balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
     scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=n), 1))
-    w = np.zeros((1 << BITS) + DENSE + 1)
+    seen, grams = np.unique(grams, return_inverse=True)  # the weight of an n-gram without a segment stays 0
+    k = len(seen)
+    w = np.zeros(k + DENSE + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(scores(w, at, grams, dense), -30, 30)))
-        e = (p - y) * balance
-        g = np.empty_like(w)
-        g[: 1 << BITS] = np.bincount(grams, weights=(e * scale)[at], minlength=1 << BITS)
-        g[1 << BITS : -1] = e @ dense
-        g[-1] = e.sum()
-        g += l2 * w
+        x = np.bincount(at, weights=w[grams], minlength=n) * scale + dense @ w[k:-1] + w[-1]
+        e = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - y) * balance
+        g = np.concatenate([np.bincount(grams, weights=(e * scale)[at], minlength=k), e @ dense, [e.sum()]]) + l2 * w
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+    full = np.zeros((1 << BITS) + DENSE + 1)
+    full[seen] = w[:k]
+    full[1 << BITS :] = w[k:]
+    return full
 
 
 def _title(text: str) -> frozenset[int]:
