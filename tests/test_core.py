@@ -143,6 +143,18 @@ def test_candidate_prefixes_nest():
     assert set(a) < set(b) and list(a) == sorted(a)
 
 
+def test_all_candidates_are_no_restriction():
+    x = np.random.default_rng(5).normal(size=(30, 4))
+    assert list(gr.facility_location(x, 9, np.arange(30))["index"]) == list(gr.facility_location(x, 9)["index"])
+    some = gr.facility_location(x, 9, np.arange(0, 30, 2))
+    assert set(some["index"]) <= set(range(0, 30, 2)) and some["objective"].iloc[-1] <= gr.facility_location(x, 9)["objective"].iloc[-1] + 1e-9
+
+
+def test_bins(spark):
+    df = spark.createDataFrame([("a", 7), ("b", 5), ("c", 5), ("d", 4), ("e", 1)], "k string, cost long")
+    assert {r.k: r.bin for r in mx.pack_bins(df, "cost", "k", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+
+
 def test_orders_do_not_depend_on_partitions(spark):
     x = np.random.default_rng(1).normal(size=(60, 6)).astype(np.float32)
     rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "k long, g int, embedding array<float>")
