@@ -98,7 +98,7 @@ def queries():
         "win_w7_rank_check": lambda spark, d: _alloc(spark, d).agg((F.min("graph_cut_rank") == 1).alias("from_one"), (F.max("graph_cut_rank") == F.count("*")).alias("to_n"), (F.countDistinct("graph_cut_rank") == F.count("*")).alias("distinct")),
         "win_w9_positions": _assembled,
         "win_w10_first_divergence": lambda spark, d: mx.first_divergence(_ranked(spark, d).filter("rank <= 20"), _train(spark, d).select("task_id", "mix_id", F.row_number().over(Window.partitionBy("task_id").orderBy("mix_id")).alias("rank")).filter("rank <= 20"), ["task_id"], "rank", "mix_id"),
-        "win_w11_rises": lambda spark, d: ev.learning_rate_rises(table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("lr")).filter("user_id < 5")).select("run", "step"),
+        "win_w11_rises": lambda spark, d: ev.learning_rate_rises(table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("lr"))).select("run", "step"),
         "win_w13_even_sample": lambda spark, d: mx.even_sample((c := table(spark, d, "customer").select("c_custkey")), ["c_custkey"], c.count(), 37),
         "sort_t1_multi_key": lambda spark, d: _alloc(spark, d).orderBy(F.desc("valid_train_count"), "task_id").limit(15).select("task_id", "valid_train_count"),
         "sort_t2_top_k": lambda spark, d: table(spark, d, "clean_manifest").groupBy("task_id").agg(F.sum("source_train_count").alias("n")).orderBy(F.desc("n"), "task_id").limit(20),
