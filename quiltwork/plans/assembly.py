@@ -32,7 +32,7 @@ def _ranked(spark, d):
 
 
 def _budgets(spark, d):
-    return _alloc(spark, d).select("task_id", F.floor(F.col("final_allocation_25000") / 50).alias("budget"), F.floor(F.col("final_allocation_50000") / 50).alias("larger"))
+    return _alloc(spark, d).select("task_id", F.col("final_allocation_25000").alias("budget"), F.col("final_allocation_50000").alias("larger"))
 
 
 def _assembled(spark, d):
