@@ -47,6 +47,20 @@ def _adjacent(folded: str, found: list[re.Match]) -> bool:
     return all(len(folded[a.end() : b.start()].split()) <= 12 for a, b in zip(found, found[1:]))
 
 
+def _closed(body: str) -> tuple[str, str] | None:
+    """The parts before and behind the brace or bracket that closes the record (none that opens behind the label), if words
+    follow it."""
+    for mark, stop in ("{}", "[]"):
+        depth = 0
+        for m in re.finditer(rf"[\{mark}\{stop}]", body):
+            depth += 1 if m[0] == mark else -1
+            if depth < 0:
+                if _BODY.search(body[m.end() :]):
+                    return body[: m.start()], body[m.end() :]
+                break
+    return None
+
+
 def split_tail(folded: str, tails: frozenset[str] = frozenset()) -> tuple[str, str]:
     """Last value of a record and the words behind the record.
 
@@ -54,10 +68,8 @@ def split_tail(folded: str, tails: frozenset[str] = frozenset()) -> tuple[str, s
     the place from which the rest is one of the known tails.
     """
     body = folded.lstrip()
-    for stop in ("}", "]"):
-        if stop in body and _BODY.search(body[body.index(stop) :]):
-            value, tail = body.split(stop, 1)
-            return value, tail
+    if closed := _closed(body):
+        return closed
     lines = [x for x in body.split("\n") if _BODY.search(x)]
     if len(lines) > 1 and not tails or len(lines) == 2:
         return lines[0], "\n".join(lines[1:])
@@ -87,7 +99,49 @@ def canonical_text(text: str) -> str:
     return "".join(words(fold(text)))
 
 
-def signature(inputs: str, targets: str, tails: frozenset[str] = frozenset()) -> tuple[bytes, bytes]:
-    """128-bit hash of the canonical pair, and an independent 64-bit one for the collision check."""
-    raw = f"{canonical_inputs(inputs, tails)}\x1f{canonical_text(targets)}".encode("utf-8", "replace")
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=32).digest()
+
+
+def _signed(raw: bytes) -> tuple[bytes, bytes]:
+    """128-bit hash, and an independent 64-bit one for the collision check."""
     return hashlib.md5(raw, usedforsecurity=False).digest(), hashlib.blake2b(raw, digest_size=8).digest()
+
+
+def _splits(label: str, own: list[str]) -> list[tuple[bytes, bytes]]:
+    """Digests of the field and of the words behind the record, for each place at which the last value may end. Each word
+    is hashed once from the left (field) and once from the right (the words behind it, read backwards)."""
+    left, right = hashlib.blake2b(f"{label}\x01".encode("utf-8", "replace"), digest_size=32), hashlib.blake2b(digest_size=32)
+    fields, rest = [], [right.digest()]
+    for word in own:
+        left.update(word.encode("utf-8", "replace"))
+        fields.append(left.digest())
+    for word in reversed(own[1:]):
+        right.update(word[::-1].encode("utf-8", "replace"))
+        rest.append(right.digest())
+    return list(zip(fields, reversed(rest)))
+
+
+def signatures_of(inputs: str, targets: str) -> tuple[tuple[bytes, bytes], bool, list[tuple[bytes, bytes]]]:
+    """Signature of the pair, whether inputs hold a record, and the ways to read it.
+
+    A closing brace or bracket tells where the last value ends, so there is no other way (an empty list). Without one any
+    word may be the last of the value: a line end does not tell, as copies lose and gain them. The signature then is that of
+    the record as it stands, and there is one way for each place, with the signature of a record that ends there.
+    """
+    folded, answer = fold(inputs), _digest(canonical_text(targets))
+    found = _labels(folded)
+    if not found:
+        return _signed(b"\x00" + _digest("".join(words(folded))) + answer), False, []
+    head = _digest("".join(words(folded[: found[0].start()])))
+    fields = [_digest(f"{a[1]}\x01{''.join(words(folded[a.end() : b.start()]))}") for a, b in zip(found, found[1:])]
+    whole = lambda field, rest: _signed(b"\x02" + head + b"".join(sorted([*fields, field])) + rest + answer)
+    label, body = found[-1][1], folded[found[-1].end() :].lstrip()
+    if closed := _closed(body):
+        own, rest = ("".join(words(x)) for x in closed)
+        return whole(_digest(f"{label}\x01{own}"), _digest(rest[::-1])), True, []
+    own = words(body)
+    if len(own) < 2:
+        return whole(_digest(f"{label}\x01{''.join(own)}"), _digest("")), True, []
+    stands = _signed(b"\x04" + head + b"".join(sorted(fields)) + _digest(f"{label}\x01{' '.join(own)}") + answer)
+    return stands, True, [whole(*x) for x in _splits(label, own)]

@@ -9,34 +9,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltwork.llm.canonical import signature
+from quiltwork.llm.canonical import signatures_of
 from quiltwork.session import staged
 
 
-def record_tails(rows: DataFrame, inputs: str = "inputs", share: float = 5e-5, least: int = 3) -> frozenset[str]:
-    """Lines that often stand behind a labelled record, as folded words: where a copy has lost its line ends, they tell
-    where the last value ends. A line counts from max(least, share of all rows) rows on, so there are at most 1 / share."""
-    last = F.regexp_extract(F.col(inputs), r"(?s):[^\n]*:[^\n]*(?:\n.*)?\n\s*([^\n:|;{}=]{3,300})\s*$|(?:[:][^\n]*\n){3,}\s*([^\n:|;{}=]{3,300})\s*$", 0)
-    line = F.regexp_extract(last, r"\n\s*([^\n]+?)\s*$", 1)
-    tidy = F.btrim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-    counted = rows.select(tidy.alias("tail")).filter("tail like '% %'").groupBy("tail").agg(F.count("*").alias("n"))
-    floor = max(least, int(rows.count() * share))
-    return frozenset(r[0] for r in counted.filter(F.col("n") >= floor).select("tail").collect())
+ON = ["h1", "h2", "checked"]
+_WAY = pa.struct([(c, pa.int64()) for c in ON])
 
 
-def signatures(rows: DataFrame, key: str, inputs: str = "inputs", targets: str = "targets", tails: frozenset[str] = frozenset()) -> DataFrame:
-    """(key, h1, h2, checked): both halves of the 128-bit hash of the canonical record and the check hash. Null
-    texts count as empty."""
+def _columns(pairs: list[tuple[bytes, bytes]]) -> list[pa.Array]:
+    wide = np.frombuffer(b"".join(p[0] for p in pairs), ">i8").reshape(-1, 2).astype(np.int64)
+    return [pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(np.frombuffer(b"".join(p[1] for p in pairs), ">i8").astype(np.int64))]
+
+
+def signatures(rows: DataFrame, key: str, inputs: str = "inputs", targets: str = "targets") -> DataFrame:
+    """(key, h1, h2, checked, record, ways): both halves of the 128-bit hash of the canonical record and the check hash,
+    whether inputs hold a record, and the signatures of all ways to read it, as in signatures_of. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [signature(a or "", b or "", tails) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            wide = np.frombuffer(b"".join(p[0] for p in pairs), ">i8").reshape(-1, 2).astype(np.int64)
-            check = np.frombuffer(b"".join(p[1] for p in pairs), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(check)], names=[key, "h1", "h2", "checked"])
+            signed = [signatures_of(a or "", b or "") for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            ends = np.cumsum([0, *[len(s[2]) for s in signed]]).astype(np.int32)
+            ways = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(_columns([w for s in signed for w in s[2]]), fields=list(_WAY)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns([s[0] for s in signed]), pa.array([s[1] for s in signed], pa.bool_()), ways], names=[key, *ON, "record", "ways"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(F.col(key), F.col(inputs), F.col(targets)).mapInArrow(run, f"`{key}` {kind}, h1 long, h2 long, checked long")
+    return rows.select(F.col(key), F.col(inputs), F.col(targets)).mapInArrow(run, f"`{key}` {kind}, h1 long, h2 long, checked long, record boolean, ways array<struct<h1: long, h2: long, checked: long>>")
+
+
+def settled(signed: DataFrame, key: str, rows: int, hot_groups: int = 1000) -> DataFrame:
+    """(key, h1, h2, checked): of the ways to read a record, the one that most rows can be read in.
+
+    Copies of a record with another last field share one way only, the true one, and those with the same last field share all.
+    So the true way has the most rows, or all copies stand alike and need none. Records that stand alike are one class;
+    classes vote with their rows, and no number of rows is needed to know the words behind a record. Classes of more than
+    rows / hot_groups rows (at most hot_groups of them) are broadcast, as in copy_pairs; all else is joined by hash.
+    """
+    classes = staged(signed.filter("record").groupBy(*ON).agg(F.count("*").alias("n"), F.first("ways").alias("ways")), "classes")
+    sure = classes.filter("size(ways) = 0").select(*ON, "n")
+    offers = classes.filter("size(ways) > 0").select(F.struct(*ON).alias("own"), "n", F.explode("ways").alias("way")).select("own", "n", "way.*")
+    votes = offers.select(*ON, "n").unionByName(sure).groupBy(*ON).agg(F.sum("n").alias("votes"))
+    best = offers.join(votes, ON).groupBy("own", "n").agg(F.max(F.struct("votes", *ON)).alias("best"))
+    chosen = F.when(F.col("best.votes") > F.col("n"), F.struct(*[F.col(f"best.{c}") for c in ON])).otherwise(F.col("own"))
+    plan = staged(best.select("own.*", "n", chosen.alias("chosen")), "chosen")
+    limit = max(1000, rows // hot_groups)
+    several = signed.filter("size(ways) > 0").select(key, *ON)
+    placed = several.join(F.broadcast(plan.filter(F.col("n") > limit).select(*ON, "chosen")), ON, "left")
+    cold = placed.filter("chosen is null").drop("chosen").join(plan.filter(F.col("n") <= limit).select(*ON, "chosen"), ON)
+    one = signed.filter("size(ways) = 0").select(key, *ON)
+    return one.unionByName(placed.filter("chosen is not null").select(key, "chosen.*")).unionByName(cold.select(key, "chosen.*"))
 
 
 def copy_groups(signed: DataFrame, key: str) -> DataFrame:
@@ -71,7 +92,7 @@ def copy_pairs(signed: DataFrame, groups: DataFrame, key: str, rows: int, hot_gr
 def find_copies(rows: DataFrame, key: str = "row_id", inputs: str = "inputs", targets: str = "targets") -> tuple[DataFrame, DataFrame]:
     """(pairs, groups) over rows with unique keys: pairs as in copy_pairs; groups (first, copies) has one row for each
     canonical record, single ones included. An empty table gives none of either."""
-    tails = record_tails(rows, inputs)
-    signed = staged(signatures(rows, key, inputs, targets, tails), "signatures")
+    read = staged(signatures(rows, key, inputs, targets), "read")
+    signed = staged(settled(read, key, read.count()), "signatures")
     groups = staged(copy_groups(signed, key), "copies")
     return copy_pairs(signed, groups, key, signed.count()), groups.select("first", "copies")
