@@ -2,8 +2,8 @@
 
 A fingerprint has BLOCKS segments of 16 bits and a sketch of 64 bits more. Two records are candidates if one segment is
 equal and their sketches lie within a Hamming radius; words of candidates are then compared. At 7 words changed in 100
-a bit differs with a chance of about 0.07, so one of 64 segments is equal almost surely (measured on random edits: 99.8 % of
-pairs at 7 words in 100, 96.7 % at one word in eight); unrelated records differ in nearly half of the bits.
+a bit differs with a chance of about 0.07, so one of 192 segments is equal almost surely (measured on 800 records of sf0.1 at one
+word in eight: 800 for random words, 799 where the rarest words are replaced); unrelated records differ in nearly half of the bits.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from quiltwork.llm.canonical import fold
 from quiltwork.session import staged
 
-BLOCKS = 64
+BLOCKS = 192
 BITS = BLOCKS * 16 + 64
 BUCKETS = 1 << 16
-RADIUS = 20
+RADIUS = 22
 # Scripts without spaces between words count by character.
 _WORD = re.compile(r"\d+(?:[.,]\d+)+|[぀-ヿ一-鿿가-힯]|[^\W_぀-ヿ一-鿿가-힯]+")
 
@@ -68,11 +70,11 @@ def bucket_counts(rows: DataFrame, prompt: str, response: str) -> tuple[np.ndarr
 
 
 class Fingerprints:
-    """Fingerprints of word lists. A word weighs min(log(records / records with it), 2): words of most records weigh
-    little, and a misspelt word no more than any other."""
+    """Fingerprints of word lists. A word weighs log(records / records with it), between 0.5 and 1: words of most records
+    weigh less, but no word so much more than another that a record whose changed words are all rare ones is not met."""
 
     def __init__(self, table: np.ndarray, n: int, most: int = 1 << 15):
-        self.weight = np.minimum(np.log(max(n, 1) / np.maximum(table, 1)), 2.0).clip(0.02).astype(np.float32)
+        self.weight = np.minimum(np.log(max(n, 1) / np.maximum(table, 1)), 1.0).clip(0.5).astype(np.float32)
         self.most, self.rows, self.signs, self.weights = most, {}, np.zeros((1024, BITS), np.int8), np.zeros(1024, np.float32)
 
     def _row(self, word: str) -> int:
@@ -145,21 +147,25 @@ def _long_distance(a: list[str], b: list[str], most: int) -> int:
 def near(a: list[str], b: list[str], share: float = 0.125) -> bool:
     """At most about one word in eight of the longer record differs."""
     most = math.floor(max(len(a), len(b)) * share + 0.5)
+    # a change takes at most one of the words that both have, so this drops no pair
+    if max(len(a), len(b)) - most > min(len(a), len(b)) or max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > most:
+        return False
     return word_distance(a, b, most) <= most
 
 
 def fingerprinted(rows: DataFrame, key: str, prompt: str, response: str, split: str, train: str = "train") -> DataFrame:
-    """(key, eval, h1, h2, codes, sketch): whether the row lies outside the train split, the 128-bit hash of its words,
-    the segments of its fingerprint (none for a record without words), and the sketch."""
+    """(key, eval, h1, h2, codes, sketch, n): whether the row lies outside the train split, the 128-bit hash of its words,
+    the segments of its fingerprint (none for a record without words), the sketch, and the number of words."""
     table, n = bucket_counts(rows, prompt, response)
     held_out = F.coalesce(F.col(split) != train, F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints(table, n)
         for batch in batches:
-            hashes, codes, sketches = [], [], []
+            hashes, codes, sketches, sizes = [], [], [], []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 own = record_words(a, b)
+                sizes.append(len(own))
                 hashes.append(hashlib.md5("".join(own).encode("utf-8", "replace"), usedforsecurity=False).digest())
                 if own:
                     segments = prints(own)
@@ -169,10 +175,10 @@ def fingerprinted(rows: DataFrame, key: str, prompt: str, response: str, split:
                     codes.append([])
                     sketches.append(0)
             wide = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(codes, pa.list_(pa.int32())), pa.array(sketches, pa.int64())], names=[key, "eval", "h1", "h2", "codes", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(codes, pa.list_(pa.int32())), pa.array(sketches, pa.int64()), pa.array(sizes, pa.int32())], names=[key, "eval", "h1", "h2", "codes", "sketch", "n"])
 
     own = rows.select(F.col(key), held_out.alias("eval"), F.col(prompt), F.col(response))
-    return own.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, eval boolean, h1 long, h2 long, codes array<int>, sketch long")
+    return own.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, eval boolean, h1 long, h2 long, codes array<int>, sketch long, n int")
 
 
 def overlaps(rows: DataFrame, key: str = "mix_id", prompt: str = "prompt", response: str = "response", split: str = "split", radius: int = RADIUS) -> DataFrame:
@@ -186,19 +192,22 @@ def overlaps(rows: DataFrame, key: str = "mix_id", prompt: str = "prompt", respo
     signed = staged(fingerprinted(rows, key, prompt, response, split), "fingerprints")
     heads = signed.groupBy("h1", "h2").agg(F.min(key).alias(key), F.max("eval").alias("any_eval"), F.max(~F.col("eval")).alias("any_train"))
     heads = staged(heads, "classes")
-    codes = heads.join(signed.select(key, "codes", "sketch"), key).select(key, "any_eval", "any_train", "sketch", F.explode("codes").alias("code"))
-    left = codes.filter("any_eval").select("code", F.col(key).alias("e"), F.col("sketch").alias("es"))
-    right = codes.filter("any_train").select("code", F.col(key).alias("t"), F.col("sketch").alias("ts"))
+    codes = heads.join(signed.select(key, "codes", "sketch", "n"), key).select(key, "any_eval", "any_train", "sketch", "n", F.explode("codes").alias("code"))
+    left = codes.filter("any_eval").select("code", F.col(key).alias("e"), F.col("sketch").alias("es"), F.col("n").alias("en"))
+    right = codes.filter("any_train").select("code", F.col(key).alias("t"), F.col("sketch").alias("ts"), F.col("n").alias("tn"))
     within = F.bit_count(F.col("es").bitwiseXOR(F.col("ts"))) <= radius
+    # near() allows no more words of difference
+    alike = F.abs(F.col("en") - F.col("tn")) <= F.floor(F.greatest("en", "tn") * 0.125 + 0.5)
     # a class of both splits meets others from either side; the order of a pair is settled by who is held out
-    candidates = left.join(right, "code").filter((F.col("e") != F.col("t")) & within).select("e", "t").distinct()
+    candidates = left.join(right, "code").filter((F.col("e") != F.col("t")) & within & alike).select("e", "t").distinct()
     texts = rows.select(F.col(key), F.col(prompt).alias("p"), F.col(response).alias("r"))
     held = candidates.join(texts.select(F.col(key).alias("e"), F.col("p").alias("ep"), F.col("r").alias("er")), "e")
     both = held.join(texts.select(F.col(key).alias("t"), F.col("p").alias("tp"), F.col("r").alias("tr")), "t")
 
     @F.pandas_udf("boolean")
     def is_near(ep: pd.Series, er: pd.Series, tp: pd.Series, tr: pd.Series) -> pd.Series:
-        return pd.Series([near(record_words(a, b), record_words(c, d)) for a, b, c, d in zip(ep, er, tp, tr)], dtype="boolean")
+        own = lru_cache(maxsize=4096)(record_words)
+        return pd.Series([near(own(a, b), own(c, d)) for a, b, c, d in zip(ep, er, tp, tr)], dtype="boolean")
 
     matched = both.filter(is_near("ep", "er", "tp", "tr")).select("e", "t")
     same = heads.filter("any_eval and any_train").select(F.col(key).alias("e"), F.col(key).alias("t"))

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from quiltwork.llm import copies
+from quiltwork.llm import copies, overlap
 from quiltwork.operators import mixture as mx
 from quiltwork.plans import assembly, io
 
@@ -62,3 +62,19 @@ def test_hot_classes_of_records(spark):
     a, b = "height: 3 owner: Ann Lee note: red hat say it", "note: red hat height: 3 owner: Ann Lee say it"
     df = spark.createDataFrame([(i, a if i % 3 else b, "x") for i in range(3600)], "row_id long, inputs string, targets string").repartition(4)
     assert [tuple(r) for r in copies.find_copies(df)[1].collect()] == [(0, 3600)]
+
+
+def test_overlap_meets_changed_content_words(spark):
+    rng = random.Random(11)
+    common, word = [f"usual{i}" for i in range(48)], lambda: f"w{rng.randrange(10**9)}x"
+    data, wanted = [], set()
+    for i in range(150):
+        own = [word() for _ in range(48)]
+        text = [x for pair in zip(common, own) for x in pair]
+        new = list(text)
+        for k in rng.sample(range(1, 96, 2), 12):
+            new[k] = word()
+        data += [(2 * i, " ".join(text), "", "train"), (2 * i + 1, " ".join(new), "", "test")]
+        wanted.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame(data, "mix_id long, prompt string, response string, split string")
+    assert set(map(tuple, overlap.overlaps(df).collect())) == wanted
