@@ -35,7 +35,8 @@ def build_session(app: str = "quiltwork", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Where the setting is missing (tests, a laptop) a temporary folder is made and set, once per session.
+    Where the setting is missing (tests, a laptop) a temporary folder is made and set, once per session; on a cluster,
+    whose executors would not see that folder, a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -43,28 +44,66 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="quiltwork-")
     atexit.register(shutil.rmtree, folder, True)
     context.setCheckpointDir(f"file://{folder}")
     return context.getCheckpointDir()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path of any scheme."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage is cut, later uses
-    read a compact columnar copy, and the loss of an executor costs nothing."""
+    read a compact columnar copy, and the loss of an executor costs nothing. The table is deleted by release(), and
+    at the latest when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = _hadoop(spark, path)
+    system.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quiltwork_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads; other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "_quiltwork_path", None)
+        if path:
+            system, where = _hadoop(table.sparkSession, path)
+            system.delete(where, True)
+            system.cancelDeleteOnExit(where)
+            table._quiltwork_path = None
 
 
 def input_partitions(df: DataFrame) -> int:
-    """Number of partitions the plan of df starts from (planning only; nothing runs)."""
+    """Number of partitions of df, from planning alone. Adaptive execution knows the partitions behind an exchange only once its
+    stages have run; for such a plan the configured number of shuffle partitions stands in."""
+    if _has_exchange(df):
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.rdd.getNumPartitions()
 
 
+def _has_exchange(df: DataFrame) -> bool:
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a scan of fewer (a small table in one file) is dealt out
+    before costly work on each row, any other plan is left as it is. It changes where rows are worked on, not what comes out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if _has_exchange(df) or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once a context, so that they can import it wherever they run."""
     context = spark.sparkContext

@@ -1,7 +1,10 @@
+import os
+
 from pyspark.sql import functions as F
 
 from quiltwork.operators.manifest import manifest_mismatches, task_counts, valid_train_counts
 from quiltwork.operators.tree import TreeState, fan_in_rounds, tree_aggregate
+from quiltwork.session import input_partitions, release, spread, staged
 
 RAW = "row_id long, task_id string, source_file string, split string, source_index long, is_object boolean, inputs string, targets string, slot int"
 
@@ -49,3 +52,21 @@ def test_mismatches(spark):
 def test_states_not_rows_are_shuffled(spark):
     plan = valid_train_counts(rows(spark, [(1, "a", "f", "train", 0, True, "i", "o", 0)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_bitmap_construct_agg") > plan.index("Exchange")
+
+
+def test_partitions_from_planning(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    scan = spark.read.parquet(str(tmp_path / "one"))
+    assert input_partitions(scan) == 1 and input_partitions(scan.groupBy("id").count()) == 4
+    dealt = spread(scan)
+    assert dealt.rdd.getNumPartitions() == 4 and sorted(r[0] for r in dealt.collect()) == list(range(100))
+    many = spark.range(0, 100, 1, 9)
+    assert spread(many) is many
+
+
+def test_staged_tables_are_released(spark):
+    a = staged(spark.range(5), "x")
+    path = a._quiltwork_path.removeprefix("file:").replace("//", "/")
+    assert a.count() == 5 and os.path.exists(path)
+    release(a, spark.range(3))
+    assert not os.path.exists(path)
