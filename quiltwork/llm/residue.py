@@ -1,8 +1,9 @@
 """Template residue and error-page text: weak labels, a regularized linear classifier on hashed n-grams, scoring of all segments.
 
 A document is cut into segments (sentences, lines, and windows round template marks). Weak labels come from status
-lines and phrases; the classifier is trained on a bounded sample of labelled segments from some hosts (sources), its
-threshold is set on them and it is validated on hosts it has not seen. Every segment of every document is then scored.
+lines and phrases, and serve for training only. The classifier is trained on a bounded sample of labelled segments from some hosts
+(sources), its threshold is set on them and it is validated on hosts it has not seen; then it is trained once more on all hosts. Every
+segment of every document is scored, and a document comes out if one of its scores reaches the threshold.
 """
 
 from __future__ import annotations
@@ -12,14 +13,17 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltwork.session import spread, staged
+
 BITS = 18
-DENSE = 6
+DENSE = 7
 SAMPLE_DOCS = 30_000
 SAMPLE_SEGMENTS = 80_000
 
@@ -32,7 +36,6 @@ _NAME = r"[A-Za-z][\w. ]{0,40}?"
 MARK = re.compile(rf"\{{\{{\s*{_NAME}\s*\}}\}}|[$#]\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|\{{%\s*{_NAME}\s*%\}}|<<\s*{_NAME}\s*>>|\[\[\s*{_NAME}\s*\]\]|@@{_NAME}@@|__{_NAME}__|%[A-Za-z]\w{{1,40}}%|\$[A-Za-z]\w{{1,40}}\$|\{{[A-Za-z][\w ]{{0,40}}\}}|&lt;{_NAME}&gt;|<[A-Za-z][\w ]{{2,40}}>|\[[A-Za-zÀ-ÿ][\w ]{{2,40}}\]|\([\w ]{{2,40}} goes here\)|\bTODO\b:?(?: add| insert| write)?(?: [\w]+){{1,3}}")
 # Names of the fields of a document, and words that ask for them.
 FIELDS = frozenset("title abstract description claim claims claim_text inventor inventors applicant applicant_name country date filing_date body summary section name figure figures figure_list author text content address number id value placeholder company email phone url heading subject company_name first_name last_name insert here your enter add todo titel zusammenfassung beschreibung anspruch erfinder anmelder titre résumé description revendication inventeur déposant título resumen descripción reivindicación solicitante einfügen ajouter completar insertar insérer".split())
-ASKING = re.compile(r"\b(?:insert|enter|add|your|todo|tbd|goes here|here|einfügen|ajouter|insérer|completar|insertar|placeholder|fill in|ausfüllen|remplir)\b", re.I)
 _SPECIAL = re.compile(r"<\|?/?(?:endoftext|startoftext|im_start|im_end|pad|unk|s|bos|eos|mask|sep|cls|su[bp])\|?>|\[(?:MASK|CLS|SEP|PAD|UNK|BOS|EOS)\]|##\w*##|\[(?:formula|formel|formule|fórmula|equation|image|bild|figure|drawing|table|tabelle|chem\w*|math\w*)\b[^\]]*\]", re.I)
 
 # Words of the usual Latin filler, and keyboard filler.
@@ -64,8 +67,13 @@ _PART = re.compile(r"[(（]\d+[)）]")
 @dataclass(frozen=True)
 class ResidueModel:
     weights: np.ndarray  # hashed n-grams, then dense features, then bias
-    threshold: float  # best F1 on the weak labels of the hosts trained on
-    candidate: float  # from here on a segment is looked at; below the threshold a phrase check must confirm it
+    threshold: float  # best F1 on the weak labels of the hosts trained on; a segment that reaches it is residue
+
+
+class Segment(NamedTuple):
+    text: str
+    kind: int  # 1 the first line, 2 a window round a template mark, 0 any other sentence or line
+    mark: str = ""  # the template mark of a window
 
 
 def mark_words(mark: str) -> list[str]:
@@ -74,45 +82,34 @@ def mark_words(mark: str) -> list[str]:
     return [w.rstrip("0123456789") for w in re.split(r"[\W_]+", inner.lower()) if w.rstrip("0123456789") and w not in ("lt", "gt")]
 
 
-def mark_signs(mark: str, text: str) -> tuple[bool, bool, bool]:
-    """Whether a mark names fields of a document, asks for something, and names a thing the text speaks of elsewhere."""
-    own = mark_words(mark)
-    known = sum(w in FIELDS for w in own)
-    named = bool(known) and known >= len(own) - 1
-    spoken = not known and bool(own) and len(re.findall(rf"\b{re.escape(own[0])}\b", text, re.I)) > 1
-    return named, bool(ASKING.search(mark)), spoken
-
-
-def segments(text: str) -> list[tuple[str, int]]:
-    """(segment, kind): 1 the first line, 2 a window round a template mark with the signs of the mark, 0 any other
-    sentence or line."""
+def segments(text: str) -> list[Segment]:
     out = []
     first = text.split("\n", 1)[0] if text else ""
     for piece in _CUT.split(text):
         if piece and not piece.isspace():
-            out.append((piece, 1 if len(out) == 0 and piece == first else 0))
+            out.append(Segment(piece, 1 if len(out) == 0 and piece == first else 0))
     if any(c in text for c in "{$#<[@_%&") or "goes here" in text or "TODO" in text:
         for m in MARK.finditer(text):
             if not _SPECIAL.match(m[0]):
                 left = text[max(0, m.start() - 40) : m.start()].rsplit("\n", 1)[-1].split(" ")[-4:]
                 right = text[m.end() : m.end() + 40].split("\n", 1)[0].split(" ")[:4]
-                named, asks, spoken = mark_signs(m[0], text)
-                signs = "".join(f" {c}{x}" * 6 for c, x in zip("⓪①②", ("⊕" if y else "⊖" for y in (named, asks, spoken))))
-                out.append((f"{' '.join(left)}{m[0]}{' '.join(right)}{signs}", 2))
+                out.append(Segment(f"{' '.join(left)}{m[0]}{' '.join(right)}", 2, m[0]))
     return out
 
 
-def weak_label(segment: str, kind: int, text: str) -> int:
-    """1 residue, -1 none, 0 unknown."""
-    if kind != 2 and "(" in segment and not _SPECIAL.search(segment) and _PART.search(segment):
-        return -1 if _TOPIC.search(segment) else 0
-    plain = segment if segment.isascii() else unicodedata.normalize("NFKC", segment)
+def weak_label(segment: Segment, text: str) -> int:
+    """1 residue, -1 none, 0 unknown: what the training is told; scoring does not see it."""
+    piece, kind, mark = segment
     if kind == 2:
-        m = MARK.search(plain)
-        if m is None:
-            return 0
-        named, asks, spoken = mark_signs(m[0], text)
-        return 1 if named else -1 if spoken else 0
+        own = mark_words(mark)
+        known = sum(w in FIELDS for w in own)
+        if known and known >= len(own) - 1:
+            return 1
+        spoken = not known and own and len(re.findall(rf"\b{re.escape(own[0])}\b", text, re.I)) > 1
+        return -1 if spoken else 0
+    if "(" in piece and not _SPECIAL.search(piece) and _PART.search(piece):
+        return -1 if _TOPIC.search(piece) else 0
+    plain = piece if piece.isascii() else unicodedata.normalize("NFKC", piece)
     body = _LEAD.sub("", _NUMBERED.sub("", plain))
     if _SPECIAL.search(body):
         return -1
@@ -148,20 +145,28 @@ def _ids(tokens: list[str]) -> list[int]:
     return list(map(_hash, tokens))
 
 
-def features(parts: list[tuple[str, int]], titles: list[frozenset[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment of each n-gram, its hash, dense features): words and pairs of neighbouring words; for each segment its
-    length, the share of different words, whether it is the first line or a mark's window, its words in the title."""
+def _mark_ids(mark: str) -> list[int]:
+    """Words of a mark, apart from the same words in prose, and its shape."""
+    return _ids(["\x01" + w for w in mark_words(mark)] + ["\x02" + re.sub(r"\w[\w. ]*", "n", mark)])
+
+
+def features(parts: list[Segment], titles: list[frozenset[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment of each n-gram, its hash, dense features): words and pairs of neighbouring words, in a mark's window the
+    words of the mark once more; for each segment its length, the share of different words, whether it is the first
+    line or a mark's window, its words in the title, whether it is very short, and how much a longer one repeats."""
     ids, sizes, rows = [], [], []
-    for (segment, kind), title in zip(parts, titles):
+    for (segment, kind, mark), title in zip(parts, titles):
         own = _ids(_tokens(_NUMBERED.sub("", segment) if kind == 0 and not segment[0].isalpha() else segment))
+        n, kinds = len(own), set(own)
+        if kind == 2:
+            own += _mark_ids(mark)
         ids += own
-        n = len(own)
-        sizes.append(n)
-        kinds = set(own)
+        sizes.append(len(own))
         rows.append((n, len(kinds), kind, len(kinds & title)))
     shape = np.array(rows, np.float32).reshape(-1, 4)
     n, kinds, kind, shared = shape.T
-    dense = np.stack([np.log1p(n) / 4, kinds / np.maximum(n, 1), kind == 1, kind == 2, shared / np.maximum(kinds, 1), n <= 3], axis=1).astype(np.float32)
+    different = kinds / np.maximum(n, 1)
+    dense = np.stack([np.log1p(n) / 4, different, kind == 1, kind == 2, shared / np.maximum(kinds, 1), n <= 3, (n >= 6) * np.maximum(0.5 - different, 0) * 4], axis=1).astype(np.float32)
     where = np.repeat(np.arange(len(parts)), sizes)
     a, at = np.array(ids, np.uint64), where
     both = at[1:] == at[:-1] if len(at) else np.zeros(0, bool)
@@ -178,10 +183,9 @@ def scores(weights: np.ndarray, at: np.ndarray, grams: np.ndarray, dense: np.nda
     return total / np.sqrt(np.maximum(count, 1)) + dense @ weights[1 << BITS : (1 << BITS) + DENSE] + weights[-1]
 
 
-def train(parts: list[tuple[str, int]], titles: list[frozenset[int]], labels: np.ndarray, l2: float = 1e-5, steps: int = 250, rate: float = 0.1) -> np.ndarray:
-    """Logistic regression with an L2 penalty, full-batch Adam; both classes weigh the same."""
-    at, grams, dense = features(parts, titles)
-    n = len(parts)
+def train(at: np.ndarray, grams: np.ndarray, dense: np.ndarray, labels: np.ndarray, l2: float = 1e-5, steps: int = 250, rate: float = 0.1) -> np.ndarray:
+    """Logistic regression with an L2 penalty on the given features, full-batch Adam; both classes weigh the same."""
+    n = len(labels)
     y = (labels > 0).astype(np.float64)
     balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
     scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=n), 1))
@@ -203,31 +207,44 @@ def train(parts: list[tuple[str, int]], titles: list[frozenset[int]], labels: np
 
 
 def _title(text: str) -> frozenset[int]:
-    return frozenset(_ids(_TOKEN.findall(text.split("\n", 1)[0][:300])))
+    return frozenset(_ids(_TOKEN.findall(text.split("\n", 1)[0])))
+
+
+_SAMPLE = "host string, label int, grams array<int>, dense array<float>, place long"
 
 
-def labelled_sample(docs: DataFrame, key: str, text: str, host: str, sample_docs: int, sample_segments: int) -> list:
-    """Weakly labelled segments of at most sample_docs documents (by hash of the key): (host, label, kind, segment, title
-    line). Unlabelled segments of documents without any positive one serve as negatives, one in thirty."""
+def labelled_sample(docs: DataFrame, key: str, text: str, host: str, sample_docs: int, sample_segments: int) -> DataFrame:
+    """Features of weakly labelled segments of about sample_docs documents (by hash of the key), sample_segments at most:
+    (host, label, grams, dense, place). Unlabelled segments of documents without any positive one serve as negatives, one in
+    thirty. The features are computed where the documents are read, from whole segments."""
     n = docs.count()
     share = max(1, -(-n // sample_docs))
     picked = docs.filter(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(share)) == 0)).select(F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            hosts, labels, parts, titles, places = [], [], [], [], []
             for host_name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = [(s, k, weak_label(s, k, t)) for s, k in segments(t)]
-                clean = not any(x[2] > 0 for x in own)
-                first = t.split("\n", 1)[0][:300]
-                for s, k, label in own:
-                    if label or clean and zlib.crc32(f"{first}{s}".encode("utf-8", "replace")) % 30 == 0:
-                        rows.append((host_name or "", label or -1, k, s[:600], first))
-            columns = list(zip(*rows)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())], names=["host", "label", "kind", "segment", "title"])
-
-    found = picked.mapInArrow(run, "host string, label int, kind int, segment string, title string")
-    return [tuple(r) for r in found.orderBy(F.xxhash64("segment", "title")).limit(sample_segments).collect()]
+                own = [(s, weak_label(s, t)) for s in segments(t)]
+                clean = not any(label > 0 for _, label in own)
+                first = t.split("\n", 1)[0]
+                title = _title(t)
+                for s, label in own:
+                    place = zlib.crc32(f"{first}{s.text}".encode("utf-8", "replace"))
+                    if label or clean and place % 30 == 0:
+                        hosts.append(host_name or "")
+                        labels.append(label or -1)
+                        parts.append(s)
+                        titles.append(title)
+                        places.append(place << 31 | zlib.crc32(f"{host_name}|{label}|{s}".encode("utf-8", "replace")) >> 1)
+            at, grams, dense = features(parts, titles)
+            order = np.argsort(at, kind="stable")
+            ends = np.concatenate([[0], np.bincount(at, minlength=len(parts)).cumsum()]).astype(np.int32)
+            columns = [pa.array(hosts, pa.string()), pa.array(labels, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[order].astype(np.int32))),
+                       pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, DENSE, dtype=np.int32)), pa.array(dense.ravel())), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "label", "grams", "dense", "place"])
+
+    return spread(picked).mapInArrow(run, _SAMPLE).orderBy("place").limit(sample_segments)
 
 
 def unseen(host: str) -> bool:
@@ -235,43 +252,69 @@ def unseen(host: str) -> bool:
     return zlib.crc32(host.encode()) % 4 == 0
 
 
+_MODEL = "weights binary, threshold double, train_segments long, train_positive long, unseen_segments long, unseen_positive long, precision double, recall double"
+
+
+def _fitted(sample: pa.Table) -> pa.Table:
+    """One row of _MODEL from the rows of labelled_sample."""
+    sample = sample.sort_by("place")
+    hosts, y = sample.column("host").to_pylist(), sample.column("label").to_numpy()
+    dense = np.array(sample.column("dense").to_pylist(), np.float32).reshape(-1, DENSE)
+    lists = sample.column("grams").combine_chunks()
+    sizes, grams = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().astype(np.int64)
+    at = np.repeat(np.arange(len(y)), sizes)
+    held = np.array([unseen(h) for h in hosts], bool)
+    if held.all():
+        held[:] = False
+
+    def part(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inside = mask[at]
+        return (np.cumsum(mask) - 1)[at[inside]], grams[inside], dense[mask]
+
+    report = {"train_segments": int((~held).sum()), "train_positive": int((y[~held] > 0).sum()), "unseen_segments": int(held.sum()), "unseen_positive": int((y[held] > 0).sum()), "precision": None, "recall": None}
+    weights, threshold = np.zeros((1 << BITS) + DENSE + 1), np.inf
+    if (y[~held] > 0).any() and (y[~held] < 0).any():
+        known = part(~held)
+        weights = train(*known, y[~held])
+        own, true = scores(weights, *known), y[~held] > 0
+        order = np.argsort(-own, kind="stable")
+        f1 = 2 * np.cumsum(true[order]) / (np.arange(1, len(own) + 1) + true.sum())
+        best = int(f1.argmax())
+        threshold = float((own[order[best]] + own[order[min(best + 1, len(own) - 1)]]) / 2)
+        if held.any():
+            got, true = scores(weights, *part(held)) >= threshold, y[held] > 0
+            report["precision"] = float((got & true).sum() / max(1, got.sum()))
+            report["recall"] = float((got & true).sum() / max(1, true.sum()))
+            weights = train(at, grams, dense, y)
+    row = {"weights": [weights.astype(np.float32).tobytes()], "threshold": [threshold], **{k: [v] for k, v in report.items()}}
+    kinds = {"weights": pa.binary(), "precision": pa.float64(), "recall": pa.float64()}
+    return pa.table({k: pa.array(v, kinds.get(k)) for k, v in row.items()})
+
+
+def fit_table(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", sample_docs: int = SAMPLE_DOCS, sample_segments: int = SAMPLE_SEGMENTS) -> DataFrame:
+    """The model as a table of one row, to be written and loaded: weights, threshold, counts, and precision and recall against
+    the weak labels on unseen hosts. The bounded sample is fitted in one task of an executor; what reaches the driver is that
+    row (1 MB), whatever the size of docs. An empty table gives no row."""
+    return labelled_sample(docs, key, text, host, sample_docs, sample_segments).groupBy(F.lit(0).alias("__all")).applyInArrow(_fitted, _MODEL)
+
+
+def load(table: DataFrame) -> tuple[ResidueModel, dict]:
+    """(model, report) of a table written from fit_table. Without labels of both kinds, or without a row, the model flags
+    nothing."""
+    names = table.columns[2:]
+    row = table.first()
+    if row is None:
+        return ResidueModel(np.zeros((1 << BITS) + DENSE + 1, np.float32), np.inf), {n: None if n in ("precision", "recall") else 0 for n in names}
+    return ResidueModel(np.frombuffer(row.weights, np.float32), row.threshold), {n: row[n] for n in names}
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", sample_docs: int = SAMPLE_DOCS, sample_segments: int = SAMPLE_SEGMENTS) -> tuple[ResidueModel, dict]:
-    """(model, report). The report has counts, and precision and recall against the weak labels on unseen hosts. Without
-    labels of both kinds the model flags nothing."""
-    sample = labelled_sample(docs, key, text, host, sample_docs, sample_segments)
-    split = {False: [r for r in sample if not unseen(r[0])], True: [r for r in sample if unseen(r[0])]}
-    if not split[False]:
-        split = {False: sample, True: []}
-    prepared = {k: ([(r[3], r[2]) for r in rows], [_title(r[4]) for r in rows], np.array([r[1] for r in rows])) for k, rows in split.items()}
-    parts, titles, y = prepared[False]
-    report = {"train_segments": len(parts), "train_positive": int((y > 0).sum()) if len(y) else 0, "unseen_segments": len(split[True]), "unseen_positive": sum(r[1] > 0 for r in split[True]), "precision": None, "recall": None}
-    if not len(y) or (y > 0).all() or (y < 0).all():
-        return ResidueModel(np.zeros((1 << BITS) + DENSE + 1), np.inf, np.inf), report
-    w = train(parts, titles, y)
-    own = scores(w, *features(parts, titles))
-    order = np.argsort(-own)
-    hit = np.cumsum(y[order] > 0)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + (y > 0).sum())
-    best = int(f1.argmax())
-    threshold = float((own[order[best]] + own[order[min(best + 1, len(y) - 1)]]) / 2)
-    candidate = min(threshold, float(np.quantile(own[y > 0], 0.002))) - 1.5
-    if split[True]:
-        got = scores(w, *features(*prepared[True][:2])) >= threshold
-        true = prepared[True][2] > 0
-        report["precision"] = float((got & true).sum() / max(1, got.sum()))
-        report["recall"] = float((got & true).sum() / max(1, true.sum()))
-    return ResidueModel(w.astype(np.float32), threshold, candidate), report
-
-
-def confirmed(segment: str, kind: int, text: str, score: float, model: ResidueModel) -> bool:
-    """The exact check of a candidate: what the phrases call no residue is none; what they call residue is; of the
-    rest the threshold decides."""
-    label = weak_label(segment, kind, text)
-    return label > 0 or label == 0 and score >= model.threshold
+    """(model, report) by way of a staged model table."""
+    return load(staged(fit_table(docs, key, text, host, sample_docs, sample_segments), "residue-model"))
 
 
 def flagged_texts(texts: list[str], model: ResidueModel) -> np.ndarray:
-    """For each text whether one of its segments is a confirmed candidate."""
+    """For each text whether the score of one of its segments reaches the threshold."""
     keep = np.zeros(len(texts), bool)
     for start in range(0, len(texts), 64):
         parts, titles, owner = [], [], []
@@ -280,18 +323,13 @@ def flagged_texts(texts: list[str], model: ResidueModel) -> np.ndarray:
             parts += own
             titles += [_title(t)] * len(own)
             owner += [start + i] * len(own)
-        if not parts:
-            continue
-        got = scores(model.weights, *features(parts, titles))
-        for k in np.flatnonzero(got >= model.candidate):
-            i = owner[k]
-            if not keep[i]:
-                keep[i] = confirmed(*parts[k], texts[i], float(got[k]), model)
+        if parts:
+            keep[np.array(owner)[scores(model.weights, *features(parts, titles)) >= model.threshold]] = True
     return keep
 
 
 def find_residue(docs: DataFrame, model: ResidueModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key): documents with at least one segment that the classifier proposes and the exact check does not refuse. All
+    """(key): documents with at least one segment whose score reaches the threshold. All
     segments of whole texts are scored; null, empty and blank texts have none. Narrow: no shuffle; repeated keys come
     out as often as they are flagged."""
 
@@ -300,5 +338,5 @@ def find_residue(docs: DataFrame, model: ResidueModel, key: str = "doc_id", text
             keep = flagged_texts(batch.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=[key])
 
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text))
+    rows = spread(docs.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text)))
     return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}")

@@ -165,13 +165,28 @@ def test_residue_edges(spark, documents):
 
 
 def test_weak_labels():
-    label = lambda s, kind=0, text="": residue.weak_label(s, kind, text or s)
+    label = lambda s, text="": residue.weak_label(s if isinstance(s, residue.Segment) else residue.Segment(s, 0), text or str(s))
     assert [label(s) for s in NOTICES[:7]] == [1] * 7
     assert label(DECOYS[0]) == -1 and label("The gate (3) was opened.") == 0
-    window = next(s for s, k in residue.segments("x {{title}} y") if k == 2)
-    assert label(window, 2) == 1
-    spoken = next(s for s, k in residue.segments("the valve {{valve}} y") if k == 2)
-    assert label(spoken, 2, "the valve {{valve}} y") == -1
+    window = next(s for s in residue.segments("x {{title}} y") if s.kind == 2)
+    assert label(window) == 1
+    spoken = next(s for s in residue.segments("the valve {{valve}} y") if s.kind == 2)
+    assert label(spoken, "the valve {{valve}} y") == -1
+
+
+def test_the_threshold_alone_decides(documents):
+    """A phrase of the weak labels below the threshold is no residue, and what has no phrase is if its score says so."""
+    weights = np.zeros((1 << residue.BITS) + residue.DENSE + 1)
+    texts = [t for _, t, _ in documents[0][:20]]
+    assert not residue.flagged_texts(texts, residue.ResidueModel(weights, 0.5)).any()
+    assert residue.flagged_texts(texts, residue.ResidueModel(weights, 0.0)).all()
+
+
+def test_whole_title_and_segments_count():
+    long = "valve " * 2000
+    assert residue._title(long + "zebra\nx") != residue._title(long + "\nx")
+    at, grams, dense = residue.features([residue.Segment(long + "zebra", 0)], [frozenset()])
+    assert len(grams) == 2 * 2001 - 1
 
 
 def test_bucket_counts_cover_all_rows(spark):
