@@ -1,9 +1,13 @@
-"""Same or nearly same records across splits: similarity-hash fingerprints joined by segments of their code.
+"""Same or nearly same records across splits: similarity-hash fingerprints joined by permuted code blocks.
 
-A fingerprint has BLOCKS segments of 16 bits and a sketch of 64 bits more. Two records are candidates if one segment is
-equal and their sketches lie within a Hamming radius; words of candidates are then compared. At 7 words changed in 100
-a bit differs with a chance of about 0.07, so one of 192 segments is equal almost surely (measured on 800 records of sf0.1 at one
-word in eight: 800 for random words, 799 where the rarest words are replaced); unrelated records differ in nearly half of the bits.
+A fingerprint has S blocks of 32 bits and a sketch of 64 bits over all words. A bit of a similarity hash is the sign of a sum of +1 and
+-1 over words (a word that occurs again is a word of its own); block s sums over the m words that come first under permutation s of
+the vocabulary. Blocks of two records are equal
+if the edits spare those m words, and almost never otherwise, so a block tells records apart at any number of rows, as 32 bits of one sum
+over all words would not: a near-same record at one word in eight differs in every fifth bit. Records of which one block is equal and
+whose sketches lie within a Hamming radius are candidates; their words are then compared.
+
+m grows with the logarithm of the rows (each word more divides chance meetings by about ten), and S follows from m and the wanted recall.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltwork.llm.canonical import fold
-from quiltwork.session import staged
+from quiltwork.llm.hot import attach
+from quiltwork.session import release, spread, staged
 
-BLOCKS = 192
-BITS = BLOCKS * 16 + 64
 BUCKETS = 1 << 16
 RADIUS = 22
+RECALL = 0.99
+KEEP = 0.7  # share of edits at one word in eight that spare one word of a block on both sides: (7/8)^2 less what rounding takes
+CHUNK = 8192
 # Scripts without spaces between words count by character.
 _WORD = re.compile(r"\d+(?:[.,]\d+)+|[぀-ヿ一-鿿가-힯]|[^\W_぀-ヿ一-鿿가-힯]+")
 
@@ -69,33 +76,76 @@ def bucket_counts(rows: DataFrame, prompt: str, response: str) -> tuple[np.ndarr
     return table, n
 
 
+def plan_blocks(rows: int, recall: float = RECALL) -> tuple[int, int]:
+    """(words a block, number of blocks) for a table of so many rows: 4 words up to 3,000 rows and one more for each factor of ten;
+    as many blocks as it takes for one of them to be spared with the wanted probability, each with KEEP ** words."""
+    m = max(4, round(math.log10(max(rows, 1))) + 1)
+    return m, math.ceil(math.log(1 - recall) / math.log(1 - KEEP**m))
+
+
+def _majority(words: np.ndarray) -> np.ndarray:
+    """Bits set in more than half of the unsigned numbers along axis 1, counted in bit planes."""
+    m = words.shape[1]
+    planes = [np.zeros_like(words[:, 0]) for _ in range(m.bit_length())]
+    for k in range(m):
+        carry = words[:, k]
+        for i, plane in enumerate(planes):
+            planes[i], carry = plane ^ carry, plane & carry
+    least, above, equal = m // 2 + 1, np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+    for i in reversed(range(len(planes))):
+        if least >> i & 1:
+            equal = equal & planes[i]
+        else:
+            above, equal = above | equal & planes[i], equal & ~planes[i]
+    return above | equal
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return x ^ x >> np.uint32(16)
+
+
 class Fingerprints:
-    """Fingerprints of word lists. A word weighs log(records / records with it), between 0.5 and 1: words of most records
-    weigh less, but no word so much more than another that a record whose changed words are all rare ones is not met."""
+    """Fingerprints of word lists: for each word its place in each permutation (a 32-bit hash) and its 64 signs in the sketch."""
 
-    def __init__(self, table: np.ndarray, n: int, most: int = 1 << 15):
-        self.weight = np.minimum(np.log(max(n, 1) / np.maximum(table, 1)), 1.0).clip(0.5).astype(np.float32)
-        self.most, self.rows, self.signs, self.weights = most, {}, np.zeros((1024, BITS), np.int8), np.zeros(1024, np.float32)
+    def __init__(self, m: int, blocks: int, most: int = 1 << 15):
+        self.m, self.blocks, self.most, self.rows = m, blocks, most, {}
+        self.places, self.signs = np.zeros((1024, blocks), np.uint32), np.zeros((1024, 64), np.int8)
 
     def _row(self, word: str) -> int:
         at = len(self.rows)
-        if at == len(self.signs):
-            self.signs = np.concatenate([self.signs, np.zeros_like(self.signs)])
-            self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
-        raw = hashlib.shake_128(word.encode("utf-8", "replace")).digest(BITS // 8)
-        self.signs[at] = np.unpackbits(np.frombuffer(raw, np.uint8)).view(np.int8) * 2 - 1
-        self.weights[at] = self.weight[zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS]
+        if at == len(self.places):
+            self.places, self.signs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.places, self.signs))
+        raw = hashlib.shake_128(word.encode("utf-8", "replace")).digest(8 + 4 * self.blocks)
+        self.signs[at] = np.unpackbits(np.frombuffer(raw[:8], np.uint8)).view(np.int8) * 2 - 1
+        self.places[at] = np.frombuffer(raw[8:], "<u4")
         self.rows[word] = at
         return at
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        """BITS // 16 segments as unsigned 16-bit numbers."""
-        if len(self.rows) > self.most:
-            self.rows.clear()
-        own = list(dict.fromkeys(words))
-        at = [self.rows[w] if w in self.rows else self._row(w) for w in own]
-        total = self.weights[at] @ self.signs[at].astype(np.float32)
-        return np.packbits(total > 0).view(">u2")
+    def __call__(self, records: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, sketches) of records that have words: blocks numbers of 32 bits each, and one of 64 bits. A long record is
+        read in chunks of CHUNK words, of which each leaves its first m words."""
+        first = np.zeros((len(records), self.m, self.blocks), np.uint32)
+        sums = np.zeros((len(records), 64), np.int64)
+        for k, words in enumerate(records):
+            seen: dict[str, int] = {}
+            own = np.zeros((0, self.blocks), np.uint32)
+            for start in range(0, len(words), CHUNK):
+                if len(self.rows) > self.most:
+                    self.rows.clear()
+                at = []
+                for w in words[start : start + CHUNK]:
+                    again = seen[w] = seen.get(w, 0) + 1
+                    w = w if again == 1 else f"{w}\x00{again}"
+                    at.append(self.rows[w] if w in self.rows else self._row(w))
+                sums[k] += self.signs[at].sum(axis=0, dtype=np.int64)
+                own = np.concatenate([own, self.places[at]]) if len(own) else self.places[at]
+                if len(own) > self.m:
+                    own = np.partition(own, self.m - 1, axis=0)[: self.m]
+            first[k, : len(own)] = own
+        codes = _majority(_mixed(first))
+        return codes.view(np.int32), np.packbits(sums > 0, axis=1).view(">i8").ravel().astype(np.int64)
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int:
@@ -153,54 +203,70 @@ def near(a: list[str], b: list[str], share: float = 0.125) -> bool:
     return word_distance(a, b, most) <= most
 
 
-def fingerprinted(rows: DataFrame, key: str, prompt: str, response: str, split: str, train: str = "train") -> DataFrame:
+def fingerprinted(rows: DataFrame, key: str, prompt: str, response: str, split: str, train: str = "train", recall: float = RECALL) -> DataFrame:
     """(key, eval, h1, h2, codes, sketch, n): whether the row lies outside the train split, the 128-bit hash of its words,
-    the segments of its fingerprint (none for a record without words), the sketch, and the number of words."""
-    table, n = bucket_counts(rows, prompt, response)
+    the blocks of its fingerprint (none for a record without words), the sketch, and the number of words."""
+    m, blocks = plan_blocks(rows.count(), recall)
     held_out = F.coalesce(F.col(split) != train, F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints(table, n)
-        for batch in batches:
-            hashes, codes, sketches, sizes = [], [], [], []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own = record_words(a, b)
-                sizes.append(len(own))
-                hashes.append(hashlib.md5("".join(own).encode("utf-8", "replace"), usedforsecurity=False).digest())
-                if own:
-                    segments = prints(own)
-                    codes.append(segments[:BLOCKS].astype(np.int32) + np.arange(BLOCKS, dtype=np.int32) * 65536)
-                    sketches.append(int(segments[BLOCKS:].view(">i8")[0]))
-                else:
-                    codes.append([])
-                    sketches.append(0)
-            wide = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(codes, pa.list_(pa.int32())), pa.array(sketches, pa.int64()), pa.array(sizes, pa.int32())], names=[key, "eval", "h1", "h2", "codes", "sketch", "n"])
-
-    own = rows.select(F.col(key), held_out.alias("eval"), F.col(prompt), F.col(response))
+        prints = Fingerprints(m, blocks)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                own = [record_words(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                hashes = b"".join(hashlib.md5("".join(x).encode("utf-8", "replace"), usedforsecurity=False).digest() for x in own)
+                wide = np.frombuffer(hashes, ">i8").reshape(-1, 2).astype(np.int64)
+                some = np.array([bool(x) for x in own], bool)
+                codes, found = prints([x for x in own if x])
+                sketches = np.zeros(len(own), np.int64)
+                sketches[some] = found
+                ends = np.concatenate([[0], np.cumsum(some) * blocks]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel())), pa.array(sketches), pa.array([len(x) for x in own], pa.int32())], names=[key, "eval", "h1", "h2", "codes", "sketch", "n"])
+
+    own = spread(rows.select(F.col(key), held_out.alias("eval"), F.col(prompt), F.col(response)))
     return own.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, eval boolean, h1 long, h2 long, codes array<int>, sketch long, n int")
 
 
-def overlaps(rows: DataFrame, key: str = "mix_id", prompt: str = "prompt", response: str = "response", split: str = "split", radius: int = RADIUS) -> DataFrame:
-    """(<key>_a, <key>_b): every pair of a train row and another split's row with the same or nearly the same words.
+def block_pairs(heads: DataFrame, signed: DataFrame, key: str) -> DataFrame:
+    """(e, t, es, ts, en, tn): a held-out and a train class for each block that they have in common, with sketches and words."""
+    codes = heads.filter("held > 0 or trained > 0").join(signed.select(key, "codes", "sketch", "n"), key).select(key, "held", "trained", "sketch", "n", F.posexplode("codes").alias("s", "c"))
+    codes = codes.withColumn("code", F.shiftleft(F.col("s").cast("long"), 32) + F.col("c"))
+    left = codes.filter("held > 0").select("code", F.col(key).alias("e"), F.col("sketch").alias("es"), F.col("n").alias("en"))
+    right = codes.filter("trained > 0").select("code", F.col(key).alias("t"), F.col("sketch").alias("ts"), F.col("n").alias("tn"))
+    return left.join(right, "code").filter(F.col("e") != F.col("t")).drop("code")
+
 
-    Rows with the same words form a class; classes, not rows, are compared: one row of each class gives its segments,
-    those of train classes and of other classes are joined on the segment, and AQE splits a segment that many share.
-    Candidates within the radius are made distinct, their words are compared, and the members of matching classes come
-    out as pairs. Keys are unique; a row whose split is null counts as held out; an empty table gives no rows.
+@dataclass(frozen=True)
+class Overlap:
+    """What find_overlaps found: members (key, head, eval, held, trained) has every row with the smallest key of its class and the
+    class's numbers of held-out and train rows; links (e, t) the heads of a held-out and of a train class whose words are the same or
+    nearly so, a class of both splits being linked to itself."""
+
+    members: DataFrame
+    links: DataFrame
+    key: str
+
+
+def find_overlaps(rows: DataFrame, key: str = "mix_id", prompt: str = "prompt", response: str = "response", split: str = "split", radius: int = RADIUS, recall: float = RECALL) -> Overlap:
+    """Classes of rows with the same words, and the links between classes of the train split and of other splits.
+
+    Classes, not rows, are compared, whatever the number of copies: the blocks of one row of each class are joined, candidates
+    within the radius are made distinct, the texts of their keys alone are fetched, and their words are compared.
+    Keys are unique; a row whose split is null counts as held out; null and empty texts have no words and are one class; an
+    empty table gives no rows.
     """
-    signed = staged(fingerprinted(rows, key, prompt, response, split), "fingerprints")
-    heads = signed.groupBy("h1", "h2").agg(F.min(key).alias(key), F.max("eval").alias("any_eval"), F.max(~F.col("eval")).alias("any_train"))
-    heads = staged(heads, "classes")
-    codes = heads.join(signed.select(key, "codes", "sketch", "n"), key).select(key, "any_eval", "any_train", "sketch", "n", F.explode("codes").alias("code"))
-    left = codes.filter("any_eval").select("code", F.col(key).alias("e"), F.col("sketch").alias("es"), F.col("n").alias("en"))
-    right = codes.filter("any_train").select("code", F.col(key).alias("t"), F.col("sketch").alias("ts"), F.col("n").alias("tn"))
+    signed = staged(fingerprinted(rows, key, prompt, response, split, recall=recall), "fingerprints")
+    total = signed.count()
+    heads = staged(signed.groupBy("h1", "h2").agg(F.min(key).alias("head"), F.count_if("eval").alias("held"), F.count_if(~F.col("eval")).alias("trained"), F.count("*").alias("size")), "classes")
+    pairs = block_pairs(heads.select(F.col("head").alias(key), "held", "trained"), signed, key)
     within = F.bit_count(F.col("es").bitwiseXOR(F.col("ts"))) <= radius
     # near() allows no more words of difference
     alike = F.abs(F.col("en") - F.col("tn")) <= F.floor(F.greatest("en", "tn") * 0.125 + 0.5)
     # a class of both splits meets others from either side; the order of a pair is settled by who is held out
-    candidates = left.join(right, "code").filter((F.col("e") != F.col("t")) & within & alike).select("e", "t").distinct()
-    texts = rows.select(F.col(key), F.col(prompt).alias("p"), F.col(response).alias("r"))
+    candidates = staged(pairs.filter(within & alike).select("e", "t").distinct(), "candidates")
+    wanted = candidates.select(F.explode(F.array("e", "t")).alias(key)).distinct()
+    texts = staged(rows.select(F.col(key), F.col(prompt).alias("p"), F.col(response).alias("r")).join(wanted, key, "left_semi"), "texts")
     held = candidates.join(texts.select(F.col(key).alias("e"), F.col("p").alias("ep"), F.col("r").alias("er")), "e")
     both = held.join(texts.select(F.col(key).alias("t"), F.col("p").alias("tp"), F.col("r").alias("tr")), "t")
 
@@ -210,17 +276,40 @@ def overlaps(rows: DataFrame, key: str = "mix_id", prompt: str = "prompt", respo
         return pd.Series([near(own(a, b), own(c, d)) for a, b, c, d in zip(ep, er, tp, tr)], dtype="boolean")
 
     matched = both.filter(is_near("ep", "er", "tp", "tr")).select("e", "t")
-    same = heads.filter("any_eval and any_train").select(F.col(key).alias("e"), F.col(key).alias("t"))
-    classes = staged(matched.unionByName(same), "matches")
-    head = heads.select("h1", "h2", F.col(key).alias("head"))
-    members = signed.select(key, "eval", "h1", "h2").join(head, ["h1", "h2"])
-    held_rows = members.filter("eval").select(F.col("head").alias("e"), F.col(key).alias("x"))
-    train_rows = members.filter("not eval").select(F.col("head").alias("t"), F.col(key).alias("y"))
-    return classes.join(held_rows, "e").join(train_rows, "t").select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
-
-
-def overlap_report(pairs: DataFrame, rows: DataFrame, key: str = "mix_id", split: str = "split", source: str = "corpus", train: str = "train") -> DataFrame:
-    """(split, source, records, pairs): held-out records with an overlap, and their pairs, for each split and source."""
-    held = rows.filter(F.coalesce(F.col(split) != train, F.lit(True))).select(F.col(key).alias("__k"), F.col(split), F.col(source))
-    ends = pairs.select(F.explode(F.array(f"{key}_a", f"{key}_b")).alias("__k"))
-    return ends.groupBy("__k").agg(F.count("*").alias("__n")).join(held, "__k").groupBy(split, source).agg(F.count("*").alias("records"), F.sum("__n").alias("pairs"))
+    same = heads.filter("held > 0 and trained > 0").select(F.col("head").alias("e"), F.col("head").alias("t"))
+    links = staged(matched.unionByName(same), "links")
+    members = staged(attach(signed.select(key, "eval", "h1", "h2"), heads, ["h1", "h2"], "size", total).select(key, "head", "eval", "held", "trained"), "members")
+    release(signed, heads, candidates, texts)
+    return Overlap(members, links, key)
+
+
+SLOT = 4096
+
+
+def overlaps(rows: DataFrame, key: str = "mix_id", prompt: str = "prompt", response: str = "response", split: str = "split", radius: int = RADIUS) -> DataFrame:
+    """(<key>_a, <key>_b): every pair of a train row and another split's row with the same or nearly the same words, from the
+    classes and links of find_overlaps. The rows of a class are dealt into slots of about SLOT rows and a link is repeated for each
+    slot, so no task has to put together all rows of a class that has many."""
+    found = find_overlaps(rows, key, prompt, response, split, radius)
+
+    def side(flag: bool, size: str, head: str, row: str) -> DataFrame:
+        slots = F.ceil(F.col(size) / SLOT)
+        return found.members.filter(F.col("eval") == flag).select(F.col("head").alias(head), F.pmod(F.xxhash64(key), slots).alias(f"{head}s"), F.col(key).alias(row))
+
+    sizes = found.members.select("head", "held", "trained").distinct()
+    deal = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(size) / SLOT) - 1))
+    links = found.links.join(sizes.select(F.col("head").alias("e"), "held"), "e").join(sizes.select(F.col("head").alias("t"), "trained"), "t")
+    dealt = links.select("e", "t", "trained", deal("held").alias("es")).select("e", "t", "es", deal("trained").alias("ts"))
+    pairs = dealt.join(side(True, "held", "e", "x"), ["e", "es"]).join(side(False, "trained", "t", "y"), ["t", "ts"])
+    return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+
+
+def overlap_report(rows: DataFrame, key: str = "mix_id", split: str = "split", source: str = "corpus", **columns: str) -> DataFrame:
+    """(split, source, records, pairs): held-out records with an overlap, and their pairs, for each split and source, from
+    the links and sizes of classes; pairs are never listed."""
+    found = find_overlaps(rows, key, split=split, **columns)
+    trained = found.members.select(F.col("head").alias("t"), "trained").distinct()
+    met = found.links.join(trained, "t").groupBy(F.col("e").alias("head")).agg(F.sum("trained").alias("pairs"))
+    held = found.members.filter("eval").join(rows.select(key, F.col(split), F.col(source)), key)
+    by_class = held.groupBy("head", split, source).agg(F.count("*").alias("n"))
+    return by_class.join(met, "head").groupBy(split, source).agg(F.sum("n").alias("records"), F.sum(F.col("n") * F.col("pairs")).alias("pairs"))

@@ -66,7 +66,7 @@ def queries():
         "p5_subset": lambda spark, d: subset.choose_k(_train(spark, d), 1000),
         "p5_by_task": lambda spark, d: subset.choose_by_task(_train(spark, d), table(spark, d, "task_allocations")),
         "p6_found": lambda spark, d: overlap.overlaps(table(spark, d, "mixture")),
-        "p6_report": lambda spark, d: overlap.overlap_report(overlap.overlaps(table(spark, d, "mixture")), table(spark, d, "mixture")),
+        "p6_report": lambda spark, d: overlap.overlap_report(table(spark, d, "mixture")),
         "p7_ids": lambda spark, d: tokenizer.encode(table(spark, d, "documents"), "doc_id", "text"),
         "p8_mix": lambda spark, d: _mix(spark, d)[0],
         "p8_shares": lambda spark, d: _mix(spark, d)[1],

@@ -73,11 +73,51 @@ def test_overlaps_against_all_pairs(spark):
     got = {tuple(r) for r in pairs.collect()}
     assert len(want) > 45 and got <= want and len(got) >= 0.98 * len(want)
     assert {(2000, 2001), (2001, 2002)} <= got
-    report = {r.split: r.pairs for r in overlap.overlap_report(pairs, df).collect()}
-    assert sum(report.values()) == len(got)
+    report = overlap.overlap_report(df).collect()
+    assert sum(r.pairs for r in report) == len(got)
+    held_ids = {r[0] for r in data if r[3] != "train"}
+    assert sum(r.records for r in report) == len({x for pair in got for x in pair} & held_ids)
     assert overlap.overlaps(df.limit(0)).collect() == []
 
 
+def test_crowds_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SLOT", 7)
+    data = [(i, "Ann has a red hat", "yes", "train" if i % 3 else "test") for i in range(60)] + [(100 + i, "Ann has a red hat today!", "yes", "train") for i in range(20)] + [(200, "Other words stand here alone", "no", "test")]
+    df = spark.createDataFrame(data, "mix_id long, prompt string, response string, split string").repartition(3)
+    got = sorted(map(tuple, overlap.overlaps(df.withColumn("corpus", F.lit("c"))).collect()))
+    held, trained = [r[0] for r in data[:60] if r[3] == "test"], [r[0] for r in data if r[3] == "train"]
+    assert got == sorted((min(a, b), max(a, b)) for a in held for b in trained)
+    assert [tuple(r) for r in overlap.overlap_report(df.withColumn("corpus", F.lit("c"))).collect()] == [("test", "c", 20, 20 * 60)]
+
+
+def test_blocks_follow_the_rows(monkeypatch):
+    assert [overlap.plan_blocks(n) for n in (0, 1000, 100_000, 10**9)] == [(4, 17), (4, 17), (6, 37), (10, 161)]
+    x = np.random.default_rng(2).integers(0, 2**32, (50, 5, 3), np.uint32)
+    bits = (x[..., None] >> np.arange(32, dtype=np.uint32) & 1).sum(1) > 2.5
+    assert ((overlap._majority(x)[..., None] >> np.arange(32, dtype=np.uint32) & 1).astype(bool) == bits).all()
+    words = [f"w{i % 50}" for i in range(300)]
+    whole = overlap.Fingerprints(5, 20)([words])
+    monkeypatch.setattr(overlap, "CHUNK", 64)
+    parts = overlap.Fingerprints(5, 20, most=70)([words])
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+@pytest.mark.parametrize("rarest", [False, True])
+def test_recall_at_one_word_in_eight(rarest):
+    """Blocks planned for 100,000 rows: of 400 records with every eighth word replaced nearly all share a block and keep the radius."""
+    rng = random.Random(11)
+    prints, met = overlap.Fingerprints(*overlap.plan_blocks(100_000)), 0
+    for k in range(400):
+        words = overlap.record_words(record(rng, rng.randint(2, 8)), f"own{k} other{k} third{k}")
+        count = {w: words.count(w) for w in words}
+        n = int(len(words) * 0.125 + 0.5)
+        at = sorted(range(len(words)), key=lambda i: count[words[i]])[:n] if rarest else rng.sample(range(len(words)), n)
+        changed = [f"new{k}x{i}" if i in at else w for i, w in enumerate(words)]
+        codes, sketches = prints([words, changed])
+        met += bool((codes[0] == codes[1]).any()) and bin(int(sketches[0] ^ sketches[1]) & (1 << 64) - 1).count("1") <= overlap.RADIUS
+    assert met >= 0.98 * 400
+
+
 def test_ward_is_the_plain_linkage():
     rng = np.random.default_rng(4)
     x = np.zeros((40, subset.DIM))
