@@ -7,7 +7,7 @@ if the edits spare those m words, and almost never otherwise, so a block tells r
 over all words would not: a near-same record at one word in eight differs in every fifth bit. Records of which one block is equal and
 whose sketches lie within a Hamming radius are candidates; their words are then compared.
 
-m grows with the logarithm of the rows (each word more divides chance meetings by about ten), and S follows from m and the wanted recall.
+m grows with the logarithm of the rows, and S follows from m and the wanted recall.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from quiltwork.session import release, spread, staged
 BUCKETS = 1 << 16
 RADIUS = 22
 RECALL = 0.99
-KEEP = 0.7  # share of edits at one word in eight that spare one word of a block on both sides: (7/8)^2 less what rounding takes
+KEEP = 0.75  # share of edits at one word in eight that spare one word of a block on both sides: (7/8)^2 less what rounding takes
 CHUNK = 8192
 # Scripts without spaces between words count by character.
 _WORD = re.compile(r"\d+(?:[.,]\d+)+|[぀-ヿ一-鿿가-힯]|[^\W_぀-ヿ一-鿿가-힯]+")
@@ -77,9 +77,9 @@ def bucket_counts(rows: DataFrame, prompt: str, response: str) -> tuple[np.ndarr
 
 
 def plan_blocks(rows: int, recall: float = RECALL) -> tuple[int, int]:
-    """(words a block, number of blocks) for a table of so many rows: 4 words up to 3,000 rows and one more for each factor of ten;
-    as many blocks as it takes for one of them to be spared with the wanted probability, each with KEEP ** words."""
-    m = max(4, round(math.log10(max(rows, 1))) + 1)
+    """(words a block, number of blocks) for a table of so many rows: 4 words up to about 1,000 rows and two more for each factor of
+    ten, as records of one template share some four words in ten and would meet ever more often otherwise; as many blocks as it takes for one of them to be spared with the wanted probability, each with KEEP ** words."""
+    m = max(4, round(2 * math.log10(max(rows, 1))) - 2)
     return m, math.ceil(math.log(1 - recall) / math.log(1 - KEEP**m))
 
 
