@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quiltwork.functions.text import has_text
 from quiltwork.llm.canonical import fold, words
 from quiltwork.llm.language import language
-from quiltwork.llm.pushdown import code_breaks_off, is_code, list_breaks_off, list_items, prose_breaks_off
+from quiltwork.llm.pushdown import code_breaks_off, is_code, list_breaks_off, list_items, prose_breaks_off, unclosed
 from quiltwork.llm.tiling import tiles
+from quiltwork.session import spread
 
 DEFECTS = ("empty", "truncated", "refusal", "copied", "other_language")
 
@@ -45,6 +46,9 @@ _CORES = [
 ]
 _REFUSAL = re.compile(rf"^\W*{_OPENING}(?:{'|'.join(_CORES)})", re.I)
 _ABOUT_TASK = re.compile(rf"\b(?:answer\w*|repl(?:y|ies)|respond\w*|assist\w*|write|discuss|complete|remit|handle|{_TASK[3:-1]}|aufgabe|frage|anfrage|helfen|weiterhelfen|auskunft|dazu|hier|dabei|bearbeiten|beantworten|demande|tâche|question|répondre|traiter|aider|tarea|pregunta|solicitud|petición|responder|contestar|ayudar|atender)\b|вопрос|задач|запрос|回答|问题|请求|任务|帮", re.I)
+# A sentence of courtesy that may stand before a refusal, and words of one who speaks about asking and answering.
+_COURTESY = re.compile(r"\W*(?:thank you|thanks|hello|hi|i (?:understand|appreciate|see)|danke|vielen dank|hallo|ich verstehe|merci|bonjour|je comprends|gracias|hola|entiendo|спасибо|здравствуйте|谢谢|您好|你好)\b[^.!?。]*[.!?。]?\s*$", re.I)
+_PERSONAL = re.compile(r"\b(?:i|me|my|you|your|please|sorry|thanks?|feel free|ask\w*|contact|consult|frag\w*|demand\w*|pregunt\w*|ich|mir|mich|mein\w*|sie|ihnen|ihr\w*|bitte|danke|entschuldigung|je|j|moi|mon|ma|mes|vous|votre|vos|merci|désolée?|yo|mi|mis|me|usted|tú|su|por favor|gracias|perdón|lo siento)\b|\b(?:я|мне|мой|вы|вам|ваш\w*|пожалуйста|спасибо|извините)\b|[我您你请]", re.I)
 _NUMBERS = {w: n for n, ws in enumerate([(), (), ("two", "zwei", "deux", "dos"), ("three", "drei", "trois", "tres"), ("four", "vier", "quatre", "cuatro"), ("five", "fünf", "cinq", "cinco"), ("six", "sechs", "seis"), ("seven", "sieben", "sept", "siete"), ("eight", "acht", "huit", "ocho"), ("nine", "neun", "neuf", "nueve"), ("ten", "zehn", "dix", "diez")]) for w in ws}
 _ASKED = re.compile(rf"\b(?:list|name|give|write|nenne|liste|citez|donnez|enumera|nombra|da)\b\W+(?:\w+\W+){{0,2}}?(\d{{1,2}}|{'|'.join(_NUMBERS)})\b(?!\W*(?:sentence|phrase|sätze|frase))", re.I)
 
@@ -59,18 +63,19 @@ def is_empty(folded: str, asked: str) -> bool:
 
 
 def is_refusal(folded: str, asked: str) -> bool:
-    """The text opens with a refusal and is little else. Where a declining note is asked for, only a refusal of the task
-    itself counts: no letter, and words about answering or the task."""
-    if len(folded) > 420:
-        return False
+    """The text opens with a refusal, but for courtesies, and is little else: the sentences that neither decline nor speak
+    of the one who asks or answers have at most as many words as the others, whatever the length. Where a declining note is asked for, only
+    a refusal of the task itself counts: no letter, and words about answering or the task."""
     plain = folded.replace("’", "'")
-    m = _REFUSAL.match(plain)
-    if not m or len(words(plain)) > 60:
+    said = [x for x in re.split(r"(?<=[.!?。！？])\s*", plain) if words(x)]
+    start = next((k for k, x in enumerate(said) if not _COURTESY.match(x)), len(said))
+    if start == len(said) or not _REFUSAL.match(said[start]) or not _ABOUT_TASK.search(said[start]):
         return False
-    first = re.split(r"(?<=[.!?。])\s", plain[m.start() :], maxsplit=1)[0]
-    if not _ABOUT_TASK.search(first):
+    if _ASKS_DECLINE.search(asked) and _LETTER_START.match(plain):
         return False
-    return not (_ASKS_DECLINE.search(asked) and _LETTER_START.match(plain))
+    size = [len(words(x)) for x in said]
+    beside = sum(n for n, x in zip(size, said) if not (_REFUSAL.match(x) or _PERSONAL.search(x)))
+    return 2 * beside <= sum(size)
 
 
 def _parts(text: str) -> list[list[str]]:
@@ -91,6 +96,10 @@ def copy_of(folded: str, asked: str) -> bool:
     have = set(whole)
     if sum(w in have for w in own) < 0.8 * len(own):
         return False
+    pairs = set(zip(whole, whole[1:]))
+    both = [p in pairs for p in zip(own, own[1:])]
+    if sum(map(max, [*both, False], [False, *both])) < 0.82 * len(own):  # tiles lie in common pairs of words
+        return False
     found = tiles(own, whole, 2)
     covered = sum(n for _, _, n in found)
     if covered < 0.82 * len(own):
@@ -115,6 +124,8 @@ def is_truncated(text: str, folded: str, asked: str) -> bool:
         return code_breaks_off(text)
     items = list_items(folded)
     if items is not None:
+        if unclosed(folded):
+            return True
         m = _ASKED.search(" ".join(asked.split()))
         return list_breaks_off(items, (int(m[1]) if m[1].isdigit() else _NUMBERS[m[1].lower()]) if m else None)
     own = words(folded)
@@ -125,7 +136,7 @@ def is_truncated(text: str, folded: str, asked: str) -> bool:
     said = " ".join(own)
     if len(own) <= 4 and f" {said} " in f" {' '.join(words(asked))} ":
         return False
-    if re.search(r"[(,\[{–—-]\s*$|…\W*$|\.\.\.\W*$", folded.rstrip()):
+    if re.search(r"[(,\[{–—-]\s*$|…\W*$|\.\.\.\W*$", folded.rstrip()) or unclosed(folded):
         return True
     return not any(" ".join(words(line)).endswith(said) for line in [*asked.split("\n"), asked]) if len(own) > 4 else True
 
@@ -173,4 +184,4 @@ def find_defects(rows: DataFrame, key: str = "row_id", inputs: str = "inputs", t
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([x for x in found if x], pa.string())], names=[key, "defect"])
 
     kind = dict(rows.dtypes)[key]
-    return own.select(F.col(key), F.col(inputs), F.col(targets)).mapInArrow(run, f"`{key}` {kind}, defect string")
+    return spread(own.select(F.col(key), F.col(inputs), F.col(targets))).mapInArrow(run, f"`{key}` {kind}, defect string")

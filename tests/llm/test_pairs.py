@@ -1,10 +1,12 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quiltwork.llm import copies
 from quiltwork.llm.canonical import canonical_inputs, canonical_text
 from quiltwork.llm.defects import classify, find_defects
 from quiltwork.llm.language import language
-from quiltwork.llm.pushdown import code_breaks_off, list_items, prose_breaks_off, stack_of
+from quiltwork.llm.pushdown import code_breaks_off, list_items, open_at_end, prose_breaks_off, stack_of, unclosed
 from quiltwork.llm.tiling import tiles
 
 RECORD = "Turn the record into text.\n\nheight: 12.5; owner: Ann Lee; note: red hat"
@@ -78,6 +80,51 @@ def test_defects(inputs, targets, defect):
     assert classify(inputs, targets) == defect
 
 
+LONG_REFUSAL = "I am sorry, but I cannot help you with this request. " + " ".join(["My guidelines do not let me speak about this, and I know that you may need an answer today."] * 6)
+
+
+@pytest.mark.parametrize(("inputs", "targets", "defect"), [
+    (ASK, "The code stands below.\n\n```python\nprint(1)\n", "truncated"), (ASK, "The code stands below.\n\n```python\nprint(1)\n```\nIt prints.", None), (ASK, "The code stands below.\n\n```python\nprint('(')\n```\nIt prints.", None),
+    (ASK, "The page is below. <div><p>Hello there, the pear was sold today.", "truncated"), (ASK, "The page is below. <div><p>Hello there, the pear was sold.</div>", None), (ASK, "Hello <name>, the pear was sold.", None),
+    (ASK, 'Ann said, "we will meet at the auction.', "truncated"), (ASK, "Ann said, “we will meet at the auction.", "truncated"), (ASK, 'Ann said, "we will meet." The pear was 5" long.', None), (ASK, "Ann said, „we will meet“ and left.", None), (ASK, "The auction « of the pear » was opened.", None), (ASK, 'Ann said, "one.\n\n"Two," she said.', None), (ASK, "It was sold :( and gone.", None),
+    ("Name the steps.", "1. Red hat (for Ann\n2. Blue hat (for Bob\n3. Old hat (for Eve", "truncated"), ("Name the steps.", "1. Red hat (for Ann)\n2. Blue hat (for Bob)\n3. Old hat (for Eve)", None),
+    (ASK, LONG_REFUSAL, "refusal"), (ASK, "Thank you for asking. I cannot help with this request.", "refusal"), (ASK, "I cannot help in that question. Feel free to ask about another topic.", "refusal"), (ASK, "I cannot answer this for certain. " + "The bottle opened the auction and the pear was sold with the ferry. " * 3, None),
+    ("Write code.", "def f(self, x): self.x = x", None), ("Write code.", "def f(x):\n    global seen\n    seen = x", None), ("Write code.", "def f(d, k):\n    d[k] = 1", None), ("Write code.", "def f(x):\n    print(x)", None),
+])
+def test_what_a_pushdown_parser_sees(inputs, targets, defect):
+    assert classify(inputs, targets) == defect
+
+
+def test_the_whole_text_is_parsed():
+    assert classify(ASK, "It was (as Ann says " + "and so on, and so on. " * 500 + "It ended.") == "truncated"
+    assert open_at_end("1. a (b\n2. c") == ["item", "(", "item"] and unclosed("1. a\n2. b") == [] and open_at_end("« a \n\n« b") == ['"']
+
+
+def plain_tiles(a, b, least):
+    used, out = (set(), set()), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used[0] and j + n not in used[1]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out.append((i, j, n))
+        used[0].update(range(i, i + n))
+        used[1].update(range(j, j + n))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14), st.integers(1, 3))
+def test_tiling_is_the_plain_greedy_one(a, b, least):
+    assert set(tiles(a, b, least)) == set(plain_tiles(a, b, least))
+
+
 def test_defect_table(spark):
     schema = "row_id long, is_object boolean, inputs string, targets string, defect string"
     data = [(1, True, ASK, None, "old"), (1, True, ASK, None, "old"), (2, False, None, None, None), (3, None, ASK, None, None), (4, True, " \x1c", None, None), (5, True, ASK, "It opened it.", None), (None, True, ASK, "-", None), (6, True, "word " * 100_000, "word " * 100_000, None)]
