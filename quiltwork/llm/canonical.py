@@ -16,7 +16,7 @@ _MARKS = (":", "=", "—", "–", "-")
 _OPEN = rf"(?:^|(?<=[\n|;,{{}}\[(.?!–—-]))\s*[{_QUOTE}•-]*{_SPACE}[{_QUOTE}]?"
 _NAME = r"([^\W\d_][^\W_]*(?:_[^\W_]+)*)"
 _LABELS = [re.compile(rf"(?<![\w.,]){_NAME}[{_QUOTE}]?\s*{m}" if m in ":=" else rf"{_OPEN}{_NAME}[{_QUOTE}]?{_SPACE}{m}(?!\w)") for m in _MARKS]
-MIN_FIELDS = 3
+SURE_FIELDS = 3
 _BODY = re.compile(r"[^\W_]")
 
 
@@ -31,19 +31,22 @@ def words(folded: str) -> list[str]:
     return _WORD.findall(folded)
 
 
-def _labels(folded: str) -> list[re.Match]:
-    """The labels of a record of at least MIN_FIELDS different labelled fields, else none."""
+def _labels(folded: str) -> tuple[list[re.Match], bool]:
+    """The labels of what may be a record of at least two different labelled fields (else none), and whether it surely is one: at
+    least SURE_FIELDS fields with short values. Two colons or long values may stand in prose as well."""
+    loose: list[re.Match] = []
     for pattern, mark in zip(_LABELS, _MARKS):
-        if folded.count(mark) < MIN_FIELDS:
+        if folded.count(mark) < 2:
             continue
         found = list(pattern.finditer(folded))
-        if len(found) >= MIN_FIELDS and len({m[1] for m in found}) == len(found) and _adjacent(folded, found):
-            return found
-    return []
+        if len(found) >= 2 and len({m[1] for m in found}) == len(found):
+            if len(found) >= SURE_FIELDS and _adjacent(folded, found):
+                return found, True
+            loose = loose or found
+    return loose, False
 
 
 def _adjacent(folded: str, found: list[re.Match]) -> bool:
-    """Fields are short: prose between two labels means that this is no record."""
     return all(len(folded[a.end() : b.start()].split()) <= 12 for a, b in zip(found, found[1:]))
 
 
@@ -84,8 +87,8 @@ def split_tail(folded: str, tails: frozenset[str] = frozenset()) -> tuple[str, s
 def canonical_inputs(text: str, tails: frozenset[str] = frozenset()) -> str:
     """Words in order, joined without white space; the fields of a record sorted by label, in the place of the record."""
     folded = fold(text)
-    found = _labels(folded)
-    if not found:
+    found, sure = _labels(folded)
+    if not sure:
         return "".join(words(folded))
     head = folded[: found[0].start()]
     values = [folded[a.end() : b.start()] for a, b in zip(found, found[1:])]
@@ -123,25 +126,32 @@ def _splits(label: str, own: list[str]) -> list[tuple[bytes, bytes]]:
 
 
 def signatures_of(inputs: str, targets: str) -> tuple[tuple[bytes, bytes], bool, list[tuple[bytes, bytes]]]:
-    """Signature of the pair, whether inputs hold a record, and the ways to read it.
+    """Signature of the pair, whether inputs may hold a record, and the ways to read it.
 
-    A closing brace or bracket tells where the last value ends, so there is no other way (an empty list). Without one any
+    A closing brace or bracket tells where the last value ends. Without one any
     word may be the last of the value: a line end does not tell, as copies lose and gain them. The signature then is that of
-    the record as it stands, and there is one way for each place, with the signature of a record that ends there.
+    the record as it stands, and there is one way for each place, with the signature of a record that ends there. What may be a
+    record or prose (two fields, or long values) has the signature of its words in order, and the ways to read it as a record;
+    a sure record with a known end has no other way (an empty list).
     """
     folded, answer = fold(inputs), _digest(canonical_text(targets))
-    found = _labels(folded)
+    found, sure = _labels(folded)
+    plain = lambda: _signed(b"\x00" + _digest("".join(words(folded))) + answer)
     if not found:
-        return _signed(b"\x00" + _digest("".join(words(folded))) + answer), False, []
+        return plain(), False, []
     head = _digest("".join(words(folded[: found[0].start()])))
     fields = [_digest(f"{a[1]}\x01{''.join(words(folded[a.end() : b.start()]))}") for a, b in zip(found, found[1:])]
     whole = lambda field, rest: _signed(b"\x02" + head + b"".join(sorted([*fields, field])) + rest + answer)
     label, body = found[-1][1], folded[found[-1].end() :].lstrip()
-    if closed := _closed(body):
-        own, rest = ("".join(words(x)) for x in closed)
-        return whole(_digest(f"{label}\x01{own}"), _digest(rest[::-1])), True, []
     own = words(body)
-    if len(own) < 2:
-        return whole(_digest(f"{label}\x01{''.join(own)}"), _digest("")), True, []
-    stands = _signed(b"\x04" + head + b"".join(sorted(fields)) + _digest(f"{label}\x01{' '.join(own)}") + answer)
-    return stands, True, [whole(*x) for x in _splits(label, own)]
+    if closed := _closed(body):
+        value, rest = ("".join(words(x)) for x in closed)
+        ends = [whole(_digest(f"{label}\x01{value}"), _digest(rest[::-1]))]
+    elif len(own) < 2:
+        ends = [whole(_digest(f"{label}\x01{''.join(own)}"), _digest(""))]
+    elif sure:
+        stands = _signed(b"\x04" + head + b"".join(sorted(fields)) + _digest(f"{label}\x01{' '.join(own)}") + answer)
+        return stands, True, [whole(*x) for x in _splits(label, own)]
+    else:
+        ends = [whole(*x) for x in _splits(label, own)]
+    return (ends[0], True, []) if sure else (plain(), True, ends)

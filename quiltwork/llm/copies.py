@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltwork.llm.canonical import signatures_of
-from quiltwork.session import staged
+from quiltwork.llm.hot import attach
+from quiltwork.session import release, spread, staged
 
 
 ON = ["h1", "h2", "checked"]
@@ -34,30 +35,27 @@ def signatures(rows: DataFrame, key: str, inputs: str = "inputs", targets: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *_columns([s[0] for s in signed]), pa.array([s[1] for s in signed], pa.bool_()), ways], names=[key, *ON, "record", "ways"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(F.col(key), F.col(inputs), F.col(targets)).mapInArrow(run, f"`{key}` {kind}, h1 long, h2 long, checked long, record boolean, ways array<struct<h1: long, h2: long, checked: long>>")
+    return spread(rows.select(F.col(key), F.col(inputs), F.col(targets))).mapInArrow(run, f"`{key}` {kind}, h1 long, h2 long, checked long, record boolean, ways array<struct<h1: long, h2: long, checked: long>>")
 
 
-def settled(signed: DataFrame, key: str, rows: int, hot_groups: int = 1000) -> DataFrame:
+def settled(signed: DataFrame, key: str, rows: int) -> DataFrame:
     """(key, h1, h2, checked): of the ways to read a record, the one that most rows can be read in.
 
     Copies of a record with another last field share one way only, the true one, and those with the same last field share all.
     So the true way has the most rows, or all copies stand alike and need none. Records that stand alike are one class;
-    classes vote with their rows, and no number of rows is needed to know the words behind a record. Classes of more than
-    rows / hot_groups rows (at most hot_groups of them) are broadcast, as in copy_pairs; all else is joined by hash.
+    classes vote with their rows, and neither a number of rows nor the size of the table decides what is known. Rows find
+    the way of their class as in hot.attach.
     """
-    classes = staged(signed.filter("record").groupBy(*ON).agg(F.count("*").alias("n"), F.first("ways").alias("ways")), "classes")
+    classes = staged(signed.filter("record").groupBy(*ON).agg(F.count("*").alias("n"), F.max("ways").alias("ways")), "classes")
     sure = classes.filter("size(ways) = 0").select(*ON, "n")
     offers = classes.filter("size(ways) > 0").select(F.struct(*ON).alias("own"), "n", F.explode("ways").alias("way")).select("own", "n", "way.*")
     votes = offers.select(*ON, "n").unionByName(sure).groupBy(*ON).agg(F.sum("n").alias("votes"))
     best = offers.join(votes, ON).groupBy("own", "n").agg(F.max(F.struct("votes", *ON)).alias("best"))
     chosen = F.when(F.col("best.votes") > F.col("n"), F.struct(*[F.col(f"best.{c}") for c in ON])).otherwise(F.col("own"))
     plan = staged(best.select("own.*", "n", chosen.alias("chosen")), "chosen")
-    limit = max(1000, rows // hot_groups)
     several = signed.filter("size(ways) > 0").select(key, *ON)
-    placed = several.join(F.broadcast(plan.filter(F.col("n") > limit).select(*ON, "chosen")), ON, "left")
-    cold = placed.filter("chosen is null").drop("chosen").join(plan.filter(F.col("n") <= limit).select(*ON, "chosen"), ON)
     one = signed.filter("size(ways) = 0").select(key, *ON)
-    return one.unionByName(placed.filter("chosen is not null").select(key, "chosen.*")).unionByName(cold.select(key, "chosen.*"))
+    return one.unionByName(attach(several, plan, ON, "n", rows).select(key, "chosen.*"))
 
 
 def copy_groups(signed: DataFrame, key: str) -> DataFrame:
@@ -73,26 +71,19 @@ def copy_groups(signed: DataFrame, key: str) -> DataFrame:
     return clean.select("h1", "h2", "checked", "first", "copies").unionByName(again.select("h1", "h2", "checked", "first", "copies"))
 
 
-def copy_pairs(signed: DataFrame, groups: DataFrame, key: str, rows: int, hot_groups: int = 1000) -> DataFrame:
-    """(<key>_a, <key>_b): the smallest key of each set of copies with each other row of the set.
-
-    A set with more than rows / hot_groups copies is hot; there are at most hot_groups of those, so they are broadcast
-    and their rows never meet in one task. All other sets are joined by hash.
-    """
-    on = ["h1", "h2", "checked"]
-    many = groups.filter("copies > 1").select(*on, "first", "copies")
-    limit = max(1000, rows // hot_groups)
-    hot = many.filter(F.col("copies") > limit).select(*on, F.col("first").alias("__hot"))
-    cold = many.filter(F.col("copies") <= limit).select(*on, F.col("first").alias("__cold"))
-    placed = signed.join(F.broadcast(hot), on, "left")
-    pair = lambda df, c: df.filter(F.col(c) != F.col(key)).select(F.col(c).alias(f"{key}_a"), F.col(key).alias(f"{key}_b"))
-    return pair(placed.filter("__hot is not null"), "__hot").unionByName(pair(placed.filter("__hot is null").join(cold, on), "__cold"))
+def copy_pairs(signed: DataFrame, groups: DataFrame, key: str, rows: int, limit: int | None = None) -> DataFrame:
+    """(<key>_a, <key>_b): the smallest key of each set of copies with each other row of the set, joined as in hot.attach."""
+    many = groups.filter("copies > 1").select(*ON, F.col("first").alias("__first"), "copies")
+    placed = attach(signed.select(key, *ON), many, ON, "copies", rows, limit)
+    return placed.filter(F.col("__first") != F.col(key)).select(F.col("__first").alias(f"{key}_a"), F.col(key).alias(f"{key}_b"))
 
 
 def find_copies(rows: DataFrame, key: str = "row_id", inputs: str = "inputs", targets: str = "targets") -> tuple[DataFrame, DataFrame]:
     """(pairs, groups) over rows with unique keys: pairs as in copy_pairs; groups (first, copies) has one row for each
     canonical record, single ones included. An empty table gives none of either."""
     read = staged(signatures(rows, key, inputs, targets), "read")
-    signed = staged(settled(read, key, read.count()), "signatures")
+    total = read.count()
+    signed = staged(settled(read, key, total), "signatures")
+    release(read)
     groups = staged(copy_groups(signed, key), "copies")
-    return copy_pairs(signed, groups, key, signed.count()), groups.select("first", "copies")
+    return copy_pairs(signed, groups, key, total), groups.select("first", "copies")

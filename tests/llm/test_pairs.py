@@ -52,11 +52,32 @@ def test_copies(spark):
     assert empty[0].collect() == [] and empty[1].collect() == []
 
 
+def test_two_fields_and_long_values(spark):
+    long = "a coat of red wool that Ann wore on every day of the long winter in Corenia"
+    data = [(1, "Colour: red\nSize: big", "x"), (2, "size: big; colour: red.", "X"), (3, "Colour: big\nSize: red", "x"), (4, "colour red size big", "y"), (5, "Colour: red, size: big", "y"),
+            (6, f"Item: {long}\nOwner: Ann\nPlace: hall", "x"), (7, f"Place: hall\nItem: {long}\nOwner: Ann", "x"), (8, f"Owner: {long}\nItem: Ann\nPlace: hall", "x"),
+            (9, "Colour: red\nSize: big\nSay it in one sentence.", "z"), (10, "Size: big\nColour: red\nSay it in one sentence.", "z")]
+    pairs = copies.find_copies(spark.createDataFrame(data, "row_id long, inputs string, targets string"))[0]
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (4, 5), (6, 7), (9, 10)]
+
+
+def test_a_larger_table_has_the_same_groups(spark):
+    """A table delivered 100 times over: the same sets, each with 100 times as many copies."""
+    forms = ["height: {a}; owner: Ann {b}; note: red hat\nTurn it into text.", "owner: Ann {b}\nnote: red hat\nheight: {a} turn it into text", "note: red hat\nheight: {a}\nowner: Ann {b}\nTurn it into text."]
+    data = [(i, forms[i % 3].format(a=i // 3, b=i // 6), "x") for i in range(30)] + [(100, "Colour: red\nSize: big", "x"), (101, "Size: big\nColour: red", "x"), (102, "Something else: no record", "x")]
+    schema = "row_id long, inputs string, targets string"
+    once = copies.find_copies(spark.createDataFrame(data, schema))
+    many = copies.find_copies(spark.createDataFrame([(k * 1000 + i, a, b) for k in range(100) for i, a, b in data], schema))
+    groups = {r[0]: r[1] for r in once[1].collect()}
+    assert {r[0]: r[1] for r in many[1].collect()} == {k: 100 * n for k, n in groups.items()}
+    assert {(r[0], r[1] % 1000) for r in many[0].collect() if r[0] != r[1] % 1000} == {tuple(r) for r in once[0].collect()} and len(groups) == 12
+
+
 def test_hot_group_and_collisions(spark):
     signed = spark.createDataFrame([(i, 1, 1, 7) for i in range(3000)] + [(5000, 2, 2, 1), (5001, 2, 2, 2), (5002, 2, 2, 1)], "row_id long, h1 long, h2 long, checked long").repartition(4)
     groups = copies.copy_groups(signed, "row_id")
     assert sorted((r.first, r.copies) for r in groups.collect()) == [(0, 3000), (5000, 2), (5001, 1)]
-    pairs = copies.copy_pairs(signed, groups, "row_id", 3003, hot_groups=10).collect()
+    pairs = copies.copy_pairs(signed, groups, "row_id", 3003, limit=300).collect()
     assert len(pairs) == 3000 and {r[0] for r in pairs} == {0, 5000}
 
 
