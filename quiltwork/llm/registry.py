@@ -65,6 +65,7 @@ def queries():
         "p4_found": lambda spark, d: defects.find_defects(table(spark, d, "raw_examples")),
         "p5_subset": lambda spark, d: subset.choose_k(_train(spark, d), 1000),
         "p5_by_task": lambda spark, d: subset.choose_by_task(_train(spark, d), table(spark, d, "task_allocations")),
+        "p5_spread": lambda spark, d: subset.spread_of(_train(spark, d), subset.choose_k(_train(spark, d), 1000)),
         "p6_found": lambda spark, d: overlap.overlaps(table(spark, d, "mixture")),
         "p6_report": lambda spark, d: overlap.overlap_report(table(spark, d, "mixture")),
         "p7_ids": lambda spark, d: tokenizer.encode(table(spark, d, "documents"), "doc_id", "text"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltwork.llm.overlap import BUCKETS, bucket_counts, record_words
-from quiltwork.session import input_partitions, staged
+from quiltwork.session import input_partitions, release, spread, staged
 
 DIM = 64
 BRANCH = 24
@@ -40,6 +40,36 @@ class CFTree:
         if self.count > self.most:
             self._rebuild()
 
+    def insert_block(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
+        """Insert many points or entries: they go down together, and of those that their nearest entry can absorb all are
+        absorbed at once where the entry then still keeps the radius; all others are inserted one by one."""
+        left = np.arange(len(n))
+        if self.count:
+            taken = np.zeros(len(n), bool)
+            self._absorb(self.root, left, n, ls, ss, ls / n[:, None], taken)
+            left = left[~taken]
+        for k in left.tolist():
+            self.insert(n[k], ls[k], ss[k])
+
+    def _absorb(self, node: _Node, at: np.ndarray, n: np.ndarray, ls: np.ndarray, ss: np.ndarray, points: np.ndarray, taken: np.ndarray) -> None:
+        c = node.centre[: node.size]
+        to = (np.einsum("ij,ij->i", c, c)[None] - 2 * (points[at] @ c.T)).argmin(1)
+        order = np.argsort(to, kind="stable")
+        found, starts = np.unique(to[order], return_index=True)
+        for k, own in zip(found.tolist(), np.split(at[order], starts[1:])):
+            if not node.leaf:
+                self._absorb(node.children[k], own, n, ls, ss, points, taken)
+                node.put(k, node.children[k])
+                continue
+            limit = self.radius * self.radius + 1e-9
+            total, line, square = node.n[k] + n[own], node.ls[k] + ls[own], node.ss[k] + ss[own]
+            fits = own[square / total - np.einsum("ij,ij->i", line, line) / (total * total) <= limit]
+            if len(fits):
+                total, line, square = node.n[k] + n[fits].sum(), node.ls[k] + ls[fits].sum(0), node.ss[k] + ss[fits].sum()
+                if square / total - (line @ line) / (total * total) <= limit:
+                    node.n[k], node.ls[k], node.ss[k], node.centre[k] = total, line, square, line / total
+                    taken[fits] = True
+
     def _insert(self, node: _Node, n: float, ls: np.ndarray, ss: float) -> _Node | None:
         if node.size:
             at = node.nearest(ls / n)
@@ -145,11 +175,11 @@ class _Node:
 
 
 def ward(n: np.ndarray, ls: np.ndarray, k: int) -> np.ndarray:
-    """Centres of k groups by Ward linkage of entries (n, linear sum): nearest-neighbour chains, then the merges in order
-    of their cost; fewer entries than k are groups of their own."""
+    """Number of the group of each entry (n, linear sum), for k groups by Ward linkage: nearest-neighbour chains, then the
+    merges in order of their cost; fewer entries than k are groups of their own. Quadratic in the entries."""
     m = len(n)
     if m <= k:
-        return ls / n[:, None]
+        return np.arange(m)
     size, line = n.astype(float).copy(), ls.astype(float).copy()
     centre = line / size[:, None]
     square = np.einsum("ij,ij->i", centre, centre)
@@ -188,11 +218,14 @@ def ward(n: np.ndarray, ls: np.ndarray, k: int) -> np.ndarray:
     for _, i, j in sorted(merges)[: m - k]:
         a, b = find(i), find(j)
         parent[max(a, b)] = min(a, b)
-    root = np.array([find(x) for x in range(m)])
-    groups, at = np.unique(root, return_inverse=True)
-    total, lines = np.zeros(len(groups)), np.zeros((len(groups), DIM))
-    np.add.at(total, at, n)
-    np.add.at(lines, at, ls)
+    return np.unique([find(x) for x in range(m)], return_inverse=True)[1]
+
+
+def group_centres(n: np.ndarray, ls: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Mean of the records of each group."""
+    total, lines = np.zeros(group.max() + 1), np.zeros((group.max() + 1, DIM))
+    np.add.at(total, group, n)
+    np.add.at(lines, group, ls)
     return lines / total[:, None]
 
 
@@ -230,7 +263,7 @@ def vectors(rows: DataFrame, key: str, group: str | None, text: str, facets: lis
 
     grp = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
     own = rows.select(F.col(key), grp.alias("grp"), F.col(text).alias("__t"), *[F.col(f).cast("string").alias(f"__f{i}") for i, f in enumerate(facets)])
-    return own.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, grp string, vec binary")
+    return spread(own).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, grp string, vec binary")
 
 
 _CF = "grp string, slot int, n double, ls binary, ss double"
@@ -249,101 +282,185 @@ def _read(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, DIM).astype(float)
 
 
-def choose(rows: DataFrame, key: str, sizes: dict[str, int], group: str | None, text: str, facets: list[str], entries: int = 4, least: int = 256, fan_in: int = 8, seed: int = 23) -> DataFrame:
+_ENTRIES = "grp string, entry int, part int, n double, ls binary, centre binary"
+MOST_ENTRIES = 100_000
+
+
+def _linked(table: pa.Table, k: int) -> pa.Table:
+    """Entries of one group of rows -> _ENTRIES: the entries are the observations that Ward linkage joins, each of weight one (so what
+    lies within one entry, a crowd of similar records, counts once), cut at k parts; centre is the mean of all records of the part."""
+    table = table.sort_by([("ls", "ascending"), ("n", "ascending")])
+    n, ls = table.column("n").to_numpy(), _read(table.column("ls").combine_chunks(), np.float32)
+    part = ward(np.ones(len(n)), ls / n[:, None], k)
+    centre = group_centres(n, ls, part).astype(np.float32)
+    entry = table.column("entry") if "entry" in table.column_names else pa.array(np.arange(len(n), dtype=np.int32))
+    return pa.table({"grp": table.column("grp"), "entry": entry, "part": pa.array(part.astype(np.int32)), "n": table.column("n"), "ls": table.column("ls"), "centre": pa.array([centre[x].tobytes() for x in part], pa.binary())})
+
+
+def choose(rows: DataFrame, key: str, sizes: dict[str, int], group: str | None, text: str, facets: list[str], entries: int = 4, least: int = 256, fan_in: int = 8) -> DataFrame:
     """(key, grp): sizes[group] records of each group of rows (group None: one group named ""), or all where there are
     no more.
 
     Each task keeps one tree a group, of at most max(least, entries x size) leaf entries; trees meet fan_in at a time
     until one is left a group, so no task ever holds more than fan_in trees of it, whatever the number of rows. Ward
-    linkage over the entries of the last tree, their sizes damped, gives the wanted number of groups. A second pass finds, for each centre, the nearest of
-    the records that have it for their nearest centre (ties: smaller key); should centres stay without a record, records
-    in seeded order make up the number. The centres are broadcast: sum(sizes) x 64 numbers. Groups without a size and
-    empty tables give no rows; keys are unique.
+    linkage over the entries of the last tree, cut at the wanted number, gives the parts. A second pass gives each record to its
+    nearest entry and finds, for each part, the record of its own that is nearest to the part's centre (ties: smaller
+    key). Should all entries of a part lie nearer to no record than others do, the entries without a record are left out, the rest is
+    linked again, and the pass is made once more; then every part has a record. Where fewer entries than wanted records are
+    left (records that are all alike), the next nearest of each entry follow, one an entry at a time, larger entries first.
+
+    Nothing is drawn at random. Trees depend on the order of the rows and on how the table is split, so other partitions
+    may choose other records, of about the same mean distance to the rest (tests: within a tenth). Linkage runs in one task,
+    quadratic in the entries, and the entries are broadcast (256 bytes each): more than MOST_ENTRIES of a group are an error. Groups
+    without a size and empty tables give no rows; keys are unique.
     """
     wanted = {g: int(k) for g, k in sizes.items() if k and k > 0}
+    limit = {g: max(least, entries * k) for g, k in wanted.items()}
+    if any(x > MOST_ENTRIES for x in limit.values()):
+        raise ValueError(f"at most {MOST_ENTRIES // entries} records of a group can be chosen")
     keep = rows.filter(F.coalesce(F.col(group).cast("string"), F.lit("")).isin(list(wanted))) if group else rows if wanted else rows.limit(0)
     vecs = staged(vectors(keep, key, group, text, facets), "vectors")
-    limit = {g: max(least, entries * k) for g, k in wanted.items()}
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         trees: dict[str, CFTree] = {}
         for batch in batches:
-            points = _read(batch.column(1), np.float16)
+            points, groups = _read(batch.column(1), np.float16), np.array(batch.column(0).to_pylist(), object)
             squares = np.einsum("ij,ij->i", points, points)
-            for g, p, s in zip(batch.column(0).to_pylist(), points, squares):
-                if g not in trees:
-                    trees[g] = CFTree(limit[g])
-                trees[g].insert(1.0, p, s)
+            for g in dict.fromkeys(groups.tolist()):
+                own = np.flatnonzero(groups == g)
+                tree = trees.setdefault(g, CFTree(limit[g]))
+                for start in range(0, len(own), 1024):
+                    some = own[start : start + 1024]
+                    tree.insert_block(np.ones(len(some)), points[some], squares[some])
         if trees:
             yield _cf_batch(TaskContext.get().partitionId(), trees)
 
-    def merge(table: pa.Table) -> CFTree:
-        g = table.column("grp")[0].as_py()
-        tree = CFTree(limit[g])
-        ls = _read(table.column("ls").combine_chunks(), np.float32)
-        for n, line, ss in zip(table.column("n").to_pylist(), ls, table.column("ss").to_pylist()):
-            tree.insert(n, line, ss)
-        return tree
-
     def merge_round(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_cf_batch(table.column("slot")[0].as_py(), {table.column("grp")[0].as_py(): merge(table)})])
-
-    def finish(table: pa.Table) -> pa.Table:
         g = table.column("grp")[0].as_py()
-        n, ls, _ = merge(table).entries()
-        damped = 1 + np.log(n)  # a crowd in one entry weighs little more than a single record
-        centres = ward(damped, ls * (damped / n)[:, None], wanted[g])
-        return pa.table({"grp": pa.array([g] * len(centres)), "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary())})
-
+        table = table.sort_by([("ls", "ascending"), ("n", "ascending")])
+        tree = CFTree(limit[g])
+        n, ls, ss = table.column("n").to_numpy(), _read(table.column("ls").combine_chunks(), np.float32), table.column("ss").to_numpy()
+        order = np.random.default_rng(0).permutation(len(n))  # neighbours apart, so that the tree stays balanced
+        for start in range(0, len(n), 1024):
+            some = order[start : start + 1024]
+            tree.insert_block(n[some], ls[some], ss[some])
+        return pa.Table.from_batches([_cf_batch(table.column("slot")[0].as_py(), {g: tree})])
+
+    link = lambda table: _linked(table, wanted[table.column("grp")[0].as_py()])
     summary = vecs.select("grp", "vec").mapInArrow(summarise, _CF)
     slots = input_partitions(vecs)
-    while slots > fan_in:
+    while True:
         slots = -(-slots // fan_in)
         summary = summary.withColumn("slot", F.pmod("slot", F.lit(slots))).groupBy("grp", "slot").applyInArrow(merge_round, _CF)
-    found: dict[str, list] = {}
-    for g, c in summary.groupBy("grp").applyInArrow(finish, "grp string, centre binary").collect():
-        found.setdefault(g, []).append(c)
-    centres = {g: np.frombuffer(b"".join(sorted(cs)), np.float32).reshape(-1, DIM) for g, cs in found.items()}
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, dict[int, tuple]] = {}
-        spare: dict[str, list[tuple[int, object]]] = {}
+        if slots <= 1:
+            break
+    linked = staged(summary.groupBy("grp").applyInArrow(link, _ENTRIES), "entries")
+    offers = staged(_offers(vecs, linked, key), "offers")
+    owned = offers.groupBy("grp", "entry").agg(F.sum("n").alias("owned"))
+    parts = linked.join(owned, ["grp", "entry"], "left").groupBy("grp", "part").agg(F.count("owned").alias("alive"))
+    if not parts.filter("alive = 0").isEmpty():
+        linked = staged(linked.join(owned, ["grp", "entry"], "left_semi").groupBy("grp").applyInArrow(link, _ENTRIES), "entries")
+        offers = staged(_offers(vecs, linked, key), "offers")
+    picked = offers.groupBy("grp", "part").agg(F.min(F.struct("d", key)).alias("x")).select("grp", F.col(f"x.{key}").alias(key))
+    counts = {r[0]: r[1] for r in picked.groupBy("grp").count().collect()}
+    have = {r[0]: r[1] for r in offers.groupBy("grp").agg(F.sum("n")).collect()}
+    short = {g: min(wanted[g], have[g]) - n for g, n in counts.items() if n < min(wanted[g], have[g])}
+    if short:
+        more = _offers(vecs.filter(F.col("grp").isin(list(short))), linked, key, short).join(picked, key, "left_anti")
+        sizes_of = linked.select("grp", "entry", F.col("n").alias("size"))
+        place = F.row_number().over(Window.partitionBy("grp", "entry").orderBy("d", key))
+        turn = F.row_number().over(Window.partitionBy("grp").orderBy("place", F.desc("size"), "entry"))
+        lack = rows.sparkSession.createDataFrame(list(short.items()), "grp string, __lack long")
+        ranked = more.withColumn("place", place).join(F.broadcast(lack), "grp").filter("place <= __lack").join(sizes_of, ["grp", "entry"]).withColumn("turn", turn)
+        picked = picked.unionByName(ranked.filter("turn <= __lack").select("grp", key))
+    return picked.select(key, "grp")
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre of each point, squared distance), a block of points at a time."""
+    square, to, far = np.einsum("ij,ij->i", centres, centres), [], []
+    for start in range(0, len(points), 1024):
+        part = points[start : start + 1024]
+        d = square[None] - 2 * (part @ centres.T)
+        to.append(d.argmin(1))
+        far.append(np.maximum(d[np.arange(len(part)), to[-1]] + np.einsum("ij,ij->i", part, part), 0))
+    return np.concatenate(to), np.concatenate(far)
+
+
+def _offers(vecs: DataFrame, linked: DataFrame, key: str, most: dict[str, int] | None = None) -> DataFrame:
+    """(grp, entry, part, n, d, key): of each task and entry the number of its records and the one nearest to the centre of its part;
+    with most, that many nearest ones (n is then meaningless)."""
+    known: dict[str, tuple] = {}
+    for r in linked.orderBy("grp", "entry").collect():
+        known.setdefault(r.grp, ([], [], [], []))
+        for column, x in zip(known[r.grp], (r.entry, r.part, np.frombuffer(r.ls, np.float32) / np.float32(r.n), np.frombuffer(r.centre, np.float32))):
+            column.append(x)
+    known = {g: tuple(np.array(x) for x in columns) for g, columns in known.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, list] = {}
+        count: dict[tuple, int] = {}
         for batch in batches:
             keys, groups = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
             points = _read(batch.column(2), np.float16).astype(np.float32)
-            for g in set(groups.tolist()):
+            for g in dict.fromkeys(groups.tolist()):
                 at = np.flatnonzero(groups == g)
-                own = centres[g]
-                for start in range(0, len(at), 2048):
-                    part = at[start : start + 2048]
-                    d = np.einsum("ij,ij->i", own, own)[None] - 2 * (points[part] @ own.T) + np.einsum("ij,ij->i", points[part], points[part])[:, None]
-                    to = d.argmin(1)
-                    for i, j, x in zip(part, to.tolist(), d[np.arange(len(part)), to].tolist()):
-                        mine = (round(x, 6), keys[i])
-                        if j not in (b := best.setdefault(g, {})) or mine < b[j]:
-                            b[j] = mine
-                extra = spare.setdefault(g, [])
-                extra += [(zlib.crc32(f"{seed}|{keys[i]}".encode()), keys[i]) for i in at]
-                if len(extra) > 8 * wanted[g]:
-                    extra.sort()
-                    del extra[2 * wanted[g] :]
-        out = [(g, j, x, k) for g, b in best.items() for j, (x, k) in b.items()]
-        out += [(g, -1, float(h), k) for g, extra in spare.items() for h, k in sorted(extra)[: 2 * wanted[g]]]
+                number, part, own, centre = known[g]
+                to, _ = _nearest(points[at], own)
+                away = np.round(((points[at] - centre[to]) ** 2).sum(1), 6)
+                for i, j, x in zip(at.tolist(), to.tolist(), away.tolist()):
+                    slot = (g, int(number[j]), int(part[j]))
+                    count[slot] = count.get(slot, 0) + 1
+                    held = best.setdefault(slot, [])
+                    held.append((x, keys[i]))
+                    if len(held) > 64 + 2 * (most[g] + 1 if most else 1):
+                        held.sort()
+                        del held[most[g] + 1 if most else 1 :]
+        out = [(*slot, count[slot], x, k) for slot, held in best.items() for x, k in sorted(held)[: most[slot[0]] + 1 if most else 1]]
         if out:
-            g, j, x, k = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(j, pa.int32()), pa.array(x, pa.float64()), pa.array(k)], names=["grp", "centre", "d", key])
-
-    kind = dict(rows.dtypes)[key]
-    offers = staged(vecs.mapInArrow(nearest, f"grp string, centre int, d double, `{key}` {kind}"), "offers")
-    picked = offers.filter("centre >= 0").groupBy("grp", "centre").agg(F.min(F.struct("d", key)).alias("x")).select("grp", F.col(f"x.{key}").alias(key))
-    spare = offers.filter("centre < 0").join(picked, [key], "left_anti")
-    total = rows.sparkSession.createDataFrame(list(wanted.items()) or [("", 0)], "grp string, __k long")
-    missing = total.join(picked.groupBy("grp").agg(F.count("*").alias("__n")), "grp", "left").select("grp", (F.col("__k") - F.coalesce("__n", F.lit(0))).alias("__missing"))
-    rank = F.row_number().over(Window.partitionBy("grp").orderBy("d", key))
-    fill = spare.withColumn("__rank", rank).join(missing, "grp").filter("__rank <= __missing").select("grp", key)
-    return picked.unionByName(fill).select(key, "grp")
+            g, e, p, n, x, k = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e, pa.int32()), pa.array(p, pa.int32()), pa.array(n, pa.int64()), pa.array(x, pa.float64()), pa.array(k)], names=["grp", "entry", "part", "n", "d", key])
+
+    return vecs.mapInArrow(run, f"grp string, entry int, part int, n long, d double, `{key}` {dict(vecs.dtypes)[key]}")
+
+
+def spread_of(rows: DataFrame, chosen: DataFrame, key: str = "mix_id", text: str = "prompt", facets: tuple[str, ...] = ("task_id", "stage2_method"), seed: int = 23) -> DataFrame:
+    """(choice, records, mean_distance, crowded): how well the chosen records, and as many drawn at random (by seeded hash), stand
+    for all rows: the mean distance of a row to the nearest of them, and how many of them lie within 0.3 of another one. The chosen
+    vectors (256 bytes each) are broadcast. No rows chosen: no line for them."""
+    vecs = staged(vectors(rows, key, None, text, list(facets)), "vectors")
+    picks = chosen.select(key).distinct()
+    n = picks.count()
+    drawn = vecs.select(key).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    sets = {}
+    for name, ids in (("tree", picks), ("random", drawn)):
+        own = [np.frombuffer(r[0], np.float16).astype(np.float32) for r in vecs.join(ids, key, "left_semi").select("vec").collect()]
+        if own:
+            sets[name] = np.stack(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows_seen = dict.fromkeys(sets, 0.0), 0
+        for batch in batches:
+            points = _read(batch.column(0), np.float16).astype(np.float32)
+            rows_seen += len(points)
+            for name, own in sets.items():
+                if len(points):
+                    total[name] += float(np.sqrt(_nearest(points, own)[1]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.float64()), pa.array([rows_seen] * len(total), pa.int64())], names=["choice", "total", "rows"])
+
+    def crowded(own: np.ndarray) -> int:
+        close = 0
+        for start in range(0, len(own), 512):
+            d = ((own[start : start + 512, None] - own[None]) ** 2).sum(-1)
+            d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
+            close += int((d.min(1) < 0.09).sum()) if len(own) > 1 else 0
+        return close
+
+    facts = rows.sparkSession.createDataFrame([(name, len(own), crowded(own)) for name, own in sets.items()], "choice string, records long, crowded long")
+    sums = vecs.select("vec").mapInArrow(run, "choice string, total double, rows long").groupBy("choice").agg(F.round(F.sum("total") / F.sum("rows"), 6).alias("mean_distance"))
+    return facts.join(sums, "choice").select("choice", "records", "mean_distance", "crowded")
 
 
 def choose_k(rows: DataFrame, k: int, key: str = "mix_id", text: str = "prompt", facets: tuple[str, ...] = ("task_id", "stage2_method")) -> DataFrame:

@@ -130,7 +130,7 @@ def test_ward_is_the_plain_linkage():
         i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: cost(groups[p[0]], groups[p[1]]))
         groups[j] += groups.pop(i)
     want = np.array(sorted(centre(g).tolist() for g in groups))
-    got = np.array(sorted(subset.ward(n, x * n[:, None], 5).tolist()))
+    got = np.array(sorted(subset.group_centres(n, x * n[:, None], subset.ward(n, x * n[:, None], 5)).tolist()))
     assert np.allclose(want, got)
 
 
@@ -143,6 +143,16 @@ def test_tree_keeps_sums():
     n, ls, ss = tree.entries()
     assert len(n) <= 120 and n.sum() == 900
     assert np.allclose(ls.sum(0), x.sum(0)) and np.isclose(ss.sum(), (x * x).sum())
+    crowd = np.repeat(x[:60], 30, axis=0) + rng.normal(size=(1800, subset.DIM)) * 1e-3
+    tree = subset.CFTree(120)
+    for start in range(0, 1800, 256):
+        part = crowd[start : start + 256]
+        tree.insert_block(np.ones(len(part)), part, (part * part).sum(1))
+    n, ls, ss = tree.entries()
+    assert len(n) <= 120 and n.sum() == 1800 and np.allclose(ls.sum(0), crowd.sum(0)) and np.isclose(ss.sum(), (crowd * crowd).sum())
+    assert (ss / n - ((ls / n[:, None]) ** 2).sum(1) <= tree.radius**2 + 1e-8).all()
+    inner = tree.root.n[: tree.root.size].sum() if not tree.root.leaf else n.sum()
+    assert inner == 1800
 
 
 def test_subset_spreads_over_crowds(spark):
@@ -152,11 +162,28 @@ def test_subset_spreads_over_crowds(spark):
     df = spark.createDataFrame(data, "mix_id long, prompt string, task_id string, stage2_method string").repartition(5)
     got = [r[0] for r in subset.choose_k(df, 42).collect()]
     assert len(got) == len(set(got)) == 42
-    assert sum(k < 1000 for k in got) <= 12 and sum(1000 <= k < 2000 for k in got) >= 28
+    assert sum(k < 1000 for k in got) <= 10 and sum(1000 <= k < 2000 for k in got) >= 30
+    shares = []
+    for parts in (1, 3, 9):
+        lines = {r.choice: r for r in subset.spread_of(df, subset.choose_k(df.repartition(parts), 42)).collect()}
+        assert lines["tree"].records == lines["random"].records == 42
+        assert lines["tree"].mean_distance < lines["random"].mean_distance and lines["tree"].crowded < lines["random"].crowded
+        shares.append(lines["tree"].mean_distance)
+    assert max(shares) <= 1.1 * min(shares)
     assert len(subset.choose_k(df, 10_000).collect()) == len(data)
     assert subset.choose_k(df, 0).collect() == [] and subset.choose_k(df.limit(0), 5).collect() == []
 
 
+def test_alike_records_make_up_the_number(spark):
+    data = [(i, "the same words", "t", "m") for i in range(300)] + [(1000 + i, f"other words {i}", "t", "m") for i in range(5)]
+    df = spark.createDataFrame(data, "mix_id long, prompt string, task_id string, stage2_method string").repartition(4)
+    got = [r[0] for r in subset.choose_k(df, 20).collect()]
+    assert len(set(got)) == 20 and set(got) >= set(range(1000, 1005))
+    assert len({r[0] for r in subset.choose_k(df, 305).collect()}) == 305
+    with pytest.raises(ValueError, match="chosen"):
+        subset.choose_k(df, 10**6)
+
+
 def test_subset_by_task(spark):
     rng = random.Random(2)
     data = [(i, record(rng, 2), f"t{i % 3}", "m") for i in range(90)] + [(500, "x", "t9", "m")]
