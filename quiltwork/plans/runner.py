@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiltwork.sources import files
+
 
 @dataclass
 class Stage:
@@ -42,37 +44,31 @@ def validate(df: DataFrame, stage: Stage) -> tuple[bool, str]:
 
 def run(spark: SparkSession, root: str, stages: list[Stage]) -> dict[str, str]:
     """Run the stages in order; returns name -> "written" or "skipped". A stage starts only if all it comes after are
-    verified; a failing check stops the run, and the stage's table has no sidecar, so the next run builds it again."""
+    verified. A stage's table is replaced as one step and its mark is written last; a failing check stops the run before the mark, so
+    the next run builds the stage again."""
     state, done, tables = {}, {}, {}
     for stage in stages:
         if missing := [a for a in stage.after if a not in done]:
             raise ValueError(f"{stage.name} comes after {missing}, which did not run")
         path, mark = f"{root}/{stage.name}", _fingerprint(stage, {a: done[a] for a in stage.after})
         side = f"{root}/_state/{stage.name}"
-        try:
-            known = spark.read.text(side).first()[0]
-            table = spark.read.parquet(path)
-            skip = known == mark and validate(table, stage)[0]
-        except Exception:  # no sidecar or no readable table: build it
-            skip = False
+        table = files.current_table(spark, path) if read_mark(spark, side) == mark else None
+        skip = table is not None and validate(table, stage)[0]
         if not skip:
-            stage.build(spark, tables).write.mode("overwrite").parquet(path)
-            table = spark.read.parquet(path)
+            table = files.replace_table(stage.build(spark, tables), path)
             holds, why = validate(table, stage)
             if not holds:
                 raise ValueError(f"{stage.name}: {why}")
-            spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").text(side)
+            files.write_bytes(spark, side, mark.encode())
         done[stage.name], tables[stage.name], state[stage.name] = mark, table, "skipped" if skip else "written"
     return state
 
 
+def read_mark(spark: SparkSession, side: str) -> str | None:
+    found = files.read_bytes(spark, side)
+    return None if found is None else found.decode()
+
+
 def progress(spark: SparkSession, root: str, stages: list[Stage]) -> int:
     """Number of stages with a completion mark."""
-    found = 0
-    for s in stages:
-        try:
-            spark.read.text(f"{root}/_state/{s.name}").first()
-            found += 1
-        except Exception:
-            pass
-    return found
+    return sum(read_mark(spark, f"{root}/_state/{s.name}") is not None for s in stages)

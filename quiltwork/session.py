@@ -52,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """(file system, path) of a path of any scheme."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -65,7 +65,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    system, where = _hadoop(spark, path)
+    system, where = hadoop(spark, path)
     system.deleteOnExit(where)
     table = spark.read.schema(df.schema).parquet(path)
     table._quiltwork_path = path
@@ -77,7 +77,7 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_quiltwork_path", None)
         if path:
-            system, where = _hadoop(table.sparkSession, path)
+            system, where = hadoop(table.sparkSession, path)
             system.delete(where, True)
             system.cancelDeleteOnExit(where)
             table._quiltwork_path = None

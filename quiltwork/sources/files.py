@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiltwork.session import hadoop
+
 
 def require_schema(df: DataFrame, expected: list[str]) -> DataFrame:
     """df, if its columns are the expected ones in any order; missing and unexpected ones are an error."""
@@ -65,6 +68,53 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, partition_by:
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file of any file system, atomically: written beside its place, then renamed over it."""
+    context = spark.sparkContext
+    jvm = context._jvm
+    system, where = hadoop(spark, path)
+    _, beside = hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = system.create(beside, True)
+    out.write(bytearray(data))
+    out.close()
+    options = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), context._jsc.hadoopConfiguration()).rename(system.makeQualified(beside), system.makeQualified(where), options)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """What a small file holds; None where there is none."""
+    system, where = hadoop(spark, path)
+    if not system.exists(where):
+        return None
+    stream = system.open(where)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def replace_table(df: DataFrame, root: str, partition_by: list[str] | None = None, keep: int = 1) -> DataFrame:
+    """Replace the table of a folder as one step: a new version is written beside the old one, then the pointer file _current
+    is renamed over the old pointer. A run that breaks off leaves the old table in place; readers that hold the version before go on
+    reading it (keep versions are kept, older ones deleted)."""
+    spark = df.sparkSession
+    name = f"v{uuid.uuid4().hex}"
+    write_table(df, f"{root}/{name}", partition_by=partition_by)
+    old = (read_bytes(spark, f"{root}/_current") or b"").decode().split()
+    write_bytes(spark, f"{root}/_current", " ".join([name, *old[:keep]]).encode())
+    for gone in old[keep:]:
+        system, where = hadoop(spark, f"{root}/{gone}")
+        system.delete(where, True)
+    return spark.read.parquet(f"{root}/{name}")
+
+
+def current_table(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table that replace_table last put in place; None where there is none."""
+    name = (read_bytes(spark, f"{root}/_current") or b"").decode().split()
+    return spark.read.parquet(f"{root}/{name[0]}") if name else None
+
+
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 

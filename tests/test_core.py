@@ -252,3 +252,19 @@ def test_stream_counts_once(spark, tmp_path):
 def test_registry_is_consistent():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.FLAGSHIP in registry.queries()
+
+
+def test_tables_are_replaced_as_one_step(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    assert files.current_table(spark, root) is None
+    first = files.replace_table(spark.range(3), root)
+    second = files.replace_table(spark.range(5), root)
+    assert first.count() == 3 and second.count() == 5 and files.current_table(spark, root).count() == 5
+    with pytest.raises(Exception, match="boom"):
+        files.replace_table(spark.range(4).select(F.raise_error(F.lit("boom")).alias("x")), root)
+    assert files.current_table(spark, root).count() == 5
+    files.replace_table(spark.range(6), root)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 3  # current, the one before, and the broken one
+    files.write_bytes(spark, f"{root}/note", b"a")
+    files.write_bytes(spark, f"{root}/note", b"b\n")
+    assert files.read_bytes(spark, f"{root}/note") == b"b\n" and files.read_bytes(spark, f"{root}/none") is None
