@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiltwork.llm.hot import attach
 from quiltwork.llm.tokenizer import DEFAULT_PATH, vocabulary_hash, with_token_counts
 from quiltwork.session import staged
+from quiltwork.sources.files import read_bytes, replace_table, write_bytes
 
 
 def content_hash(c: Column) -> Column:
@@ -34,34 +37,17 @@ class TokenLedger:
     path: str
 
     @classmethod
-    def start(cls, docs: DataFrame, key: str, texts: list[str], slices: list[str], path: str = DEFAULT_PATH) -> TokenLedger:
-        """First snapshot: every text is unseen, so the documents are encoded where they are read, without a shuffle
-        of text; the count table and the cube are aggregates of that one staged pass. Null slices are slices of their
+    def start(cls, docs: DataFrame, key: str, texts: list[str], slices: list[str], path: str = DEFAULT_PATH, counts: DataFrame | None = None) -> TokenLedger:
+        """First snapshot, with the count table of earlier ones if there is one. Null slices are slices of their
         own, null texts count 0, and a key that occurs twice counts twice."""
-        hashed = docs.select(key, *slices, *[content_hash(F.col(t)).alias(f"{t}__content") for t in texts], *texts)
-        state = staged(with_token_counts(hashed, {f"{t}_tokens": t for t in texts}, path), "ledger")
-        pairs = F.explode(F.array(*[F.struct(F.col(f"{t}__content").alias("content"), F.col(f"{t}_tokens").alias("n_tokens")) for t in texts]))
-        counts = state.select(pairs.alias("x")).groupBy("x.content").agg(F.first("x.n_tokens").alias("n_tokens"))
-        counts = counts.withColumn("tokenizer", F.lit(vocabulary_hash(path)))
+        counts, state = _counted(docs, key, texts, slices, path, counts)
         return cls(counts, state, _cube(_signed(state, 1, texts, slices), slices, texts), key, slices, texts, path)
 
     def update(self, docs: DataFrame) -> TokenLedger:
         """Next snapshot of the same documents (keys must be unique). Only texts whose (tokenizer, content) is not in
-        the count table are encoded; the cube changes by the signed rows of new, changed, re-sliced and removed
+        the count table are encoded, each once; the cube changes by the signed rows of new, changed, re-sliced and removed
         documents alone."""
-        mine = self.counts.filter(F.col("tokenizer") == vocabulary_hash(self.path)).select("content", "n_tokens")
-        hashed = docs.select(self.key, *self.slices, *[content_hash(F.col(t)).alias(f"{t}__content") for t in self.texts])
-        long = F.explode(F.array(*[F.struct(content_hash(F.col(t)).alias("content"), F.col(t).alias("text")) for t in self.texts]))
-        texts = docs.select(long.alias("x")).select("x.content", "x.text")
-        unseen = texts.select("content").distinct().join(mine, "content", "left_anti")
-        fresh = with_token_counts(texts.join(unseen, "content", "left_semi"), {"n_tokens": "text"}, self.path)
-        fresh = staged(fresh.groupBy("content").agg(F.first("n_tokens").alias("n_tokens")), "fresh")
-        known = mine.unionByName(fresh)
-        state = hashed
-        for t in self.texts:
-            own = known.select(F.col("content").alias(f"{t}__content"), F.col("n_tokens").alias(f"{t}_tokens"))
-            state = state.join(own, f"{t}__content", "left")
-        state = staged(state.select(*self.state.columns), "ledger")
+        counts, state = _counted(docs, self.key, self.texts, self.slices, self.path, self.counts)
         same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in self.state.columns]
         both = self.state.alias("o").join(state.alias("n"), F.col(f"o.{self.key}") == F.col(f"n.{self.key}"), "full_outer")
         unchanged = F.col(f"o.{self.key}").isNotNull() & F.col(f"n.{self.key}").isNotNull()
@@ -75,9 +61,49 @@ class TokenLedger:
             signed = part if signed is None else signed.unionByName(part)
         old = self.cube.drop("tokens")
         cube = _cube(old.unionByName(signed), self.slices, self.texts).filter(F.col("n_records") != 0)
-        counts = self.counts.unionByName(fresh.withColumn("tokenizer", F.lit(vocabulary_hash(self.path))))
         return TokenLedger(counts, state, cube, self.key, self.slices, self.texts, self.path)
 
+    def save(self, root: str) -> None:
+        """Write the ledger in a folder of any file system, so that a later session can go on with it. Each table is
+        replaced as one step; the description, written last, names the versions that belong together."""
+        spark = self.state.sparkSession
+        for name in ("counts", "state", "cube"):
+            replace_table(getattr(self, name), f"{root}/{name}")
+        versions = {name: read_bytes(spark, f"{root}/{name}/_current").decode().split()[0] for name in ("counts", "state", "cube")}
+        write_bytes(spark, f"{root}/ledger.json", json.dumps({"key": self.key, "slices": self.slices, "texts": self.texts, "path": self.path, "versions": versions}).encode())
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> TokenLedger:
+        found = read_bytes(spark, f"{root}/ledger.json")
+        if found is None:
+            raise ValueError(f"no ledger in {root}")
+        facts = json.loads(found)
+        tables = {name: spark.read.parquet(f"{root}/{name}/{version}") for name, version in facts.pop("versions").items()}
+        return cls(**tables, **facts)
+
+
+def _counted(docs: DataFrame, key: str, texts: list[str], slices: list[str], path: str, counts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(count table, state) of a snapshot. Contents are told apart by hash where the rows lie, so a text that a third of the
+    documents have is encoded once; contents of the count table are not encoded at all. Documents find the count of their
+    content as in hot.attach."""
+    tokenizer = vocabulary_hash(path)
+    pairs = F.explode(F.array(*[F.struct(content_hash(F.col(t)).alias("content"), F.col(t).alias("text")) for t in texts]))
+    different = docs.select(pairs.alias("x")).select("x.content", "x.text").dropDuplicates(["content"])
+    if counts is not None:
+        known = counts.filter(F.col("tokenizer") == tokenizer).select("content")
+        different = different.join(known, "content", "left_anti")
+    fresh = staged(with_token_counts(different, {"n_tokens": "text"}, path).withColumn("tokenizer", F.lit(tokenizer)).select("tokenizer", "content", "n_tokens"), "counts")
+    counts = fresh if counts is None else counts.unionByName(fresh)
+    state = staged(docs.select(key, *slices, *[content_hash(F.col(t)).alias(f"{t}__content") for t in texts]), "contents")
+    total = state.count()
+    mine = counts.filter(F.col("tokenizer") == tokenizer).select("content", "n_tokens")
+    for t in texts:
+        c = f"{t}__content"
+        sized = state.groupBy(c).agg(F.count("*").alias("__rows")).join(mine.withColumnRenamed("content", c), c)
+        state = attach(state, sized.withColumnRenamed("n_tokens", f"{t}_tokens"), [c], "__rows", total).drop("__rows")
+    order = [key, *slices, *[f"{t}__content" for t in texts], *[f"{t}_tokens" for t in texts]]
+    return counts, staged(state.select(*order), "ledger")
+
 
 def _signed(state: DataFrame, sign: int, texts: list[str], slices: list[str]) -> DataFrame:
     return state.select(*slices, F.lit(sign).cast("long").alias("n_records"), *[(F.col(f"{t}_tokens") * sign).alias(f"{t}_tokens") for t in texts])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quiltwork.functions.text import tidy_lang
 from quiltwork.llm import copies, defects, ledger, mixing, overlap, residue, subset, tokenizer
 from quiltwork.operators.manifest import valid_rows
+from quiltwork.session import shared_dir
 from quiltwork.sources.tables import table
 
 
@@ -16,15 +19,27 @@ def _ledger_docs(spark, d):
     return rows.join(domains, "task_id", "left")
 
 
+def _ledger(docs):
+    return ledger.TokenLedger.start(docs, "mix_id", ["prompt", "response"], ["corpus", "lang", "domain"])
+
+
 def p3_token_totals(spark, d):
-    return ledger.TokenLedger.start(_ledger_docs(spark, d), "mix_id", ["prompt", "response"], ["corpus", "lang", "domain"]).cube
+    return _ledger(_ledger_docs(spark, d)).cube
 
 
 def p3_updated_totals(spark, d):
-    """The 25,000 budget with its evaluation rows as the first snapshot, then the whole table as the second."""
+    """The totals of the whole table by way of three snapshots: without its test rows, then with them but without the validation
+    rows (which are removed), then whole. Each is saved and loaded."""
     docs = _ledger_docs(spark, d)
-    first = docs.filter(F.col("included_in_25000") | (F.col("split") != "train"))
-    return ledger.TokenLedger.start(first, "mix_id", ["prompt", "response"], ["corpus", "lang", "domain"]).update(docs).cube
+    root = f"{shared_dir(spark).rstrip('/')}/ledger/{uuid.uuid4().hex}"
+    _ledger(docs.filter("split <> 'test'")).save(root)
+    ledger.TokenLedger.load(spark, root).update(docs.filter("split <> 'validation'")).save(root)
+    return ledger.TokenLedger.load(spark, root).update(docs).cube
+
+
+def p3_counts(spark, d):
+    """The count table: a row for each different prompt or response, by hash of content and tokenizer."""
+    return _ledger(_ledger_docs(spark, d)).counts.select("tokenizer", F.hex("content").alias("content"), "n_tokens")
 
 
 def _mix(spark, d):
@@ -62,6 +77,7 @@ def queries():
         "p2_records": p2_records,
         "p3_token_totals": p3_token_totals,
         "p3_updated_totals": p3_updated_totals,
+        "p3_counts": p3_counts,
         "p4_found": lambda spark, d: defects.find_defects(table(spark, d, "raw_examples")),
         "p5_subset": lambda spark, d: subset.choose_k(_train(spark, d), 1000),
         "p5_by_task": lambda spark, d: subset.choose_by_task(_train(spark, d), table(spark, d, "task_allocations")),

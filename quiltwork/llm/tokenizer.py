@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltwork.session import spread
+
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern published with the vocabulary (possessive, which changes no match).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
@@ -223,7 +225,7 @@ def encode(df: DataFrame, key: str, text: str, path: str = DEFAULT_PATH) -> Data
 
     Narrow: no shuffle, and only the two columns are read. One row comes out for each row, repeated keys included.
     """
-    rows = df.select(F.col(key), F.col(text).alias("__text"))
+    rows = spread(df.select(F.col(key), F.col(text).alias("__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -243,7 +245,7 @@ def with_token_counts(df: DataFrame, texts: dict[str, str], path: str = DEFAULT_
     columns themselves are dropped, so nothing behind this carries them."""
     names = list(texts)
     rest = [c for c in df.columns if c not in texts.values()]
-    rows = df.select(*[F.col(f"`{c}`") for c in rest], *[F.col(f"`{texts[n]}`").alias(f"__{n}") for n in names])
+    rows = spread(df.select(*[F.col(f"`{c}`") for c in rest], *[F.col(f"`{texts[n]}`").alias(f"__{n}") for n in names]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

@@ -76,6 +76,27 @@ def test_ledger_deltas(spark, monkeypatch):
     assert TokenLedger.start(old.limit(0), "k", ["prompt", "response"], ["corpus", "lang"]).cube.collect() == []
 
 
+def test_each_text_is_encoded_once(spark, tmp_path, monkeypatch):
+    """A content of most rows is counted once, an update encodes nothing it knows, and a saved ledger goes on."""
+    from quiltwork.llm import hot, ledger
+
+    monkeypatch.setattr(hot, "FLOOR", 5)
+    schema = "k long, prompt string, response string, corpus string"
+    docs = spark.createDataFrame([(i, "yes" if i % 3 else f"own text {i}", None if i % 2 else "yes", "c") for i in range(90)], schema).repartition(3)
+    encoded = []
+    real = ledger.with_token_counts
+    monkeypatch.setattr(ledger, "with_token_counts", lambda df, *a: (encoded.append(df.count()), real(df, *a))[1])
+    first = TokenLedger.start(docs, "k", ["prompt", "response"], ["corpus"])
+    assert encoded == [32] and first.counts.count() == 32  # 30 texts of their own, "yes", and the empty one
+    first.save(f"file://{tmp_path}/ledger")
+    again = TokenLedger.load(spark, f"file://{tmp_path}/ledger").update(docs.filter("k < 60").unionByName(spark.createDataFrame([(900, "own text 0", "brand new", "d")], schema)))
+    assert encoded == [32, 1]
+    want = TokenLedger.start(docs.filter("k < 60").unionByName(spark.createDataFrame([(900, "own text 0", "brand new", "d")], schema)), "k", ["prompt", "response"], ["corpus"])
+    assert sorted(map(tuple, again.cube.collect())) == sorted(map(tuple, want.cube.collect()))
+    with pytest.raises(ValueError, match="ledger"):
+        TokenLedger.load(spark, f"file://{tmp_path}/nothing")
+
+
 def test_sainte_lague():
     assert mixing.sainte_lague([53, 24, 23], [99] * 3, 7) == [3, 2, 2]
     assert mixing.sainte_lague([0.5, 0.5], [10, 10], 3) == [2, 1]
