@@ -268,3 +268,20 @@ def test_tables_are_replaced_as_one_step(spark, tmp_path):
     files.write_bytes(spark, f"{root}/note", b"a")
     files.write_bytes(spark, f"{root}/note", b"b\n")
     assert files.read_bytes(spark, f"{root}/note") == b"b\n" and files.read_bytes(spark, f"{root}/none") is None
+
+
+def test_engines_agree(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(130, 6))
+    x[40] = x[3]
+    x[90:100] = -x[:10]
+    rows = spark.createDataFrame([(i * 2, v.tolist()) for i, v in enumerate(x)], "k long, embedding array<double>").repartition(3)
+    want = gr.facility_location(x, 25)
+    dense = gr.facility_location(x, 25, dense=True)
+    assert list(dense["index"]) == list(want["index"]) and np.allclose(dense["gain"], want["gain"])
+    for working, batch, refresh in ((2048, 64, 16), (20, 8, 3)):
+        got = gr.order_pool(rows, "k", 25, working=working, batch=batch, refresh=refresh).orderBy("rank").toPandas()
+        assert [k // 2 for k in got["k"]] == list(want["index"]) and np.allclose(got["objective"], want["objective"])
+        assert (got["next_bound"] <= got["gain"] + 2e-9).all() and list(got["ties"]) == list(want["ties"])
+    assert gr.order_pool(rows.limit(0), "k", 5).collect() == [] and gr.order_pool(rows.limit(2), "k", 5).count() == 2
+    assert gr.engine(5000, 1024) == "exact_dense" and gr.engine(5001, 1024) == "matrix_free" and gr.engine(10**6, 1024) == "distributed"
