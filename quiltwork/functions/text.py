@@ -48,6 +48,17 @@ def hash_score_hex(*parts: Column, seed: int = 23) -> Column:
     return F.substring(F.sha2(payload, 256), 1, 16)
 
 
+def safe_ratio(a: Column, b: Column, digits: int | None = None) -> Column:
+    """a / b, 0.0 where b is 0 or null."""
+    x = F.when(b != 0, a / b).otherwise(F.lit(0.0))
+    return x if digits is None else F.round(x, digits)
+
+
+def code_points(c: Column) -> Column:
+    """Length in code points; 0 for null."""
+    return F.coalesce(F.length(c), F.lit(0))
+
+
 def tidy_lang(c: Column) -> Column:
     """Two-letter language: case, region and three-letter codes are folded; null, blank and und give 'und'."""
     # ISO 639-2 codes and their ISO 639-1 form.

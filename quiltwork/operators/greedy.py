@@ -134,15 +134,16 @@ def order_tasks(means: DataFrame, key: str, budget: int | None = None, lam: floa
     return means.select(key, "mean", F.lit(1).alias("__all")).groupBy("__all").applyInPandas(run, f"rank long, {key} {kind}, marginal_gain double, cumulative_gain double")
 
 
-def order_within(rows: DataFrame, group: str, key: str, budget: int | Callable[[int], int], vector: str = "embedding", candidates: int | None = None, seed: int = 23, dense: bool | None = None) -> DataFrame:
+def order_within(rows: DataFrame, group: str, key: str, budget: int | Callable[[int], int], vector: str = "embedding", candidates: int | None = None, seed: int = 23, dense: bool | None = None, flag: str | None = None) -> DataFrame:
     """Facility-location prefix of each group: (group, rank, key, gain, objective, ties, next_bound, evaluations). With
-    candidates only that many seeded rows of a group can be chosen, while all are represented. dense is chosen by engine() if not
+    candidates only that many seeded rows of a group can be chosen, with flag (a boolean column) those that have it, while all are
+    represented. dense is chosen by engine() if not
     given. A group must fit one task (n x d floats; see order_pool for larger ones); it is sorted by key inside."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         k = budget(len(pdf)) if callable(budget) else budget
-        pool = seeded_candidates(len(pdf), candidates, seed, int(pdf[group].iloc[0])) if candidates else None
+        pool = seeded_candidates(len(pdf), candidates, seed, int(pdf[group].iloc[0])) if candidates else np.flatnonzero(pdf[flag].to_numpy(bool)) if flag else None
         x = np.stack(pdf[vector].to_list())
         out = facility_location(x, k, pool, dense=engine(*x.shape) == "exact_dense" if dense is None else dense)
         out.insert(0, group, pdf[group].iloc[0])
@@ -150,7 +151,7 @@ def order_within(rows: DataFrame, group: str, key: str, budget: int | Callable[[
         return out[[group, "rank", key, "gain", "objective", "ties", "next_bound", "evaluations"]]
 
     kinds = dict(rows.dtypes)
-    return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, rank long, {key} {kinds[key]}, gain double, objective double, ties long, next_bound double, evaluations long")
+    return rows.select(group, key, vector, *([flag] if flag else [])).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, rank long, {key} {kinds[key]}, gain double, objective double, ties long, next_bound double, evaluations long")
 
 
 def order_pool(rows: DataFrame, key: str, budget: int, vector: str = "embedding", working: int = 2048, batch: int = 64, refresh: int = 16) -> DataFrame:

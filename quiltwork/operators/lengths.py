@@ -19,8 +19,12 @@ def with_lengths(rows: DataFrame, limit: int, length: Callable[[Column], Column]
     """prompt and full lengths and what is left of them under a limit: retained, masked, supervised, untruncated
     response, lost. A null response is empty."""
     full = length(F.concat(F.coalesce("prompt", F.lit("")), F.lit(" "), F.coalesce("response", F.lit("")))) + specials
-    out = rows.withColumn("prompt_len", length(F.col("prompt")) + specials).withColumn("full_len", full)
-    out = out.withColumn("retained", F.least("full_len", F.lit(limit))).withColumn("masked", F.least("prompt_len", F.lit(limit), "retained"))
+    return with_supervision(rows.withColumn("prompt_len", length(F.col("prompt")) + specials).withColumn("full_len", full), limit)
+
+
+def with_supervision(rows: DataFrame, limit: int) -> DataFrame:
+    """The same from length columns prompt_len and full_len, such as those of a tokenizer."""
+    out = rows.withColumn("retained", F.least("full_len", F.lit(limit))).withColumn("masked", F.least("prompt_len", F.lit(limit), "retained"))
     out = out.withColumn("supervised", F.col("retained") - F.col("masked")).withColumn("untruncated", F.greatest(F.col("full_len") - F.col("prompt_len"), F.lit(0)))
     return out.withColumn("lost", F.greatest(F.col("untruncated") - F.col("supervised"), F.lit(0)))
 
@@ -41,7 +45,10 @@ def threshold_counts(sized: DataFrame, keys: list[str], limit: int) -> DataFrame
 def retention(sized: DataFrame, keys: list[str]) -> DataFrame:
     """Share of the response kept, over rows that have one; null where none has."""
     r = F.when(F.col("untruncated") > 0, F.col("supervised") / F.col("untruncated"))
-    return sized.groupBy(*keys).agg(F.round(F.avg(r), 6).alias("mean"), F.round(F.percentile(r, 0.01), 6).alias("p01"), F.round(F.percentile(r, 0.05), 6).alias("p05"), F.round(F.percentile(r, 0.5), 6).alias("p50"), F.round(F.min(r), 6).alias("min"))
+    # rows with the same pair of lengths count once, with their number, so the percentile's map holds pairs, not rows
+    sized = sized.groupBy(*keys, "supervised", "untruncated").agg(F.count("*").alias("__n"))
+    mean = F.sum(r * F.col("__n")) / F.sum(F.when(r.isNotNull(), F.col("__n")))
+    return sized.groupBy(*keys).agg(F.round(mean, 6).alias("mean"), F.round(F.percentile(r, 0.01, F.col("__n")), 6).alias("p01"), F.round(F.percentile(r, 0.05, F.col("__n")), 6).alias("p05"), F.round(F.percentile(r, 0.5, F.col("__n")), 6).alias("p50"), F.round(F.min(r), 6).alias("min"))
 
 
 def zero_supervision(sized: DataFrame, limit: int) -> Column:

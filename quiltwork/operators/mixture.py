@@ -10,18 +10,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiltwork.session import staged
+
+BOUND = 1_000_000  # rows of a budgeted selection that one process may hold as keys
+
 
 def with_positions(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """0-based global position in the given total order, without one task for all rows: rows are range-partitioned and
-    sorted, the sizes of the partitions (one number each) give their offsets, and a row's place is offset + place inside.
-    The order must be total for the result to be unique."""
-    placed = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    marked = placed.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+    """0-based global position in the given total order, without one task for all rows: rows are range-partitioned, sorted and
+    staged with their partition and place in it, the sizes of the partitions (one number each) give their offsets, and a row's
+    position is offset + place. Staging pins the partitions, which sampling may cut differently each time the plan runs. The order must
+    be total for the result to be unique."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
+    marked = staged(placed.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)), "positions")
     sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = sizes.withColumn(name, F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return marked.join(F.broadcast(offsets.select("__part", name)), "__part").withColumn(name, F.col(name) + F.col("__in")).drop("__part", "__in")
 
 
+def rank_within(rows: DataFrame, group: str, order: list[str], name: str = "rank") -> DataFrame:
+    """1-based rank inside each group, where a group may hold a third of all rows: positions over (group, order), less the
+    first position of the group (one number a group). Null is a group like any other."""
+    placed = with_positions(rows, [group, *order], "__pos")
+    first = placed.groupBy(F.col(group).alias("__g")).agg(F.min("__pos").alias("__first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col("__pos") - F.col("__first") + 1).drop("__pos", "__first", "__g")
+
+
+def hash_order(rows: DataFrame, seed: int, position: str = "position", name: str = "final_position") -> DataFrame:
+    """final_position by the sha256 of seed and position: a seeded order of any number of rows (see shuffle for NumPy's)."""
+    keyed = rows.withColumn("__h", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(position).cast("string")), 256))
+    return with_positions(keyed, ["__h", position], name).drop("__h")
+
+
 def seeded_permutation(n: int, seed: int) -> np.ndarray:
     """Row at final position p, as NumPy's default generator permutes n rows."""
     return np.random.default_rng(seed).permutation(n)
@@ -35,8 +55,10 @@ def seeded_subset(n: int, k: int, seed: int) -> list[int]:
 
 
 def shuffle(rows: DataFrame, seed: int, n: int, position: str = "position", name: str = "final_position") -> DataFrame:
-    """final_position by a seeded permutation of the n positions of a budgeted mixture (tens of thousands of rows: the
-    bound is the budget)."""
+    """final_position by NumPy's seeded permutation of the n positions of a budgeted mixture, which one process must draw as a
+    whole: at most BOUND rows (an error beyond; hash_order has no bound)."""
+    if n > BOUND:
+        raise ValueError(f"NumPy's order is drawn for at most {BOUND} rows")
     order = seeded_permutation(n, seed)
     where = np.empty(n, np.int64)
     where[order] = np.arange(n)
@@ -54,18 +76,20 @@ def inclusion_flags(rows: DataFrame, budgets: dict[str, Column], rank: str = "ra
     return rows.withColumns({f"included_in_{name}": F.col(rank) <= k for name, k in budgets.items()})
 
 
-def membership_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row (n, digest): order-free digest of the keys at any size: count and, of 64-bit halves of each row's
-    sha256, the sums modulo 2^63 side by side."""
-    h = F.sha2(F.concat_ws("\x00", *[F.coalesce(F.col(k).cast("string"), F.lit("\x01")) for k in keys]), 256)
-    part = lambda a: F.sum(F.conv(F.substring(h, a, 15), 16, 10).cast("decimal(20,0)")) % F.lit(1 << 60).cast("decimal(20,0)")
-    return rows.agg(F.count("*").alias("n"), part(1).cast("decimal(20,0)").alias("a"), part(17).cast("decimal(20,0)").alias("b")).select("n", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("digest"))
+def membership_digest(rows: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """(group, n, digest): number of rows of each group and the exclusive or of the first 60 bits of each row's sha256, so neither
+    the order nor the size of a group matters; partial digests are combined where the rows lie."""
+    h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256)
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring(h, 1, 15), 16, 10).cast("long")).alias("digest"))
 
 
-def sorted_membership_hash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """sha256 over the sorted keys, for bounded inputs such as a budgeted selection."""
+def sorted_membership_hash(rows: DataFrame, keys: list[str], bound: int | None = None) -> DataFrame:
+    """sha256 over the sorted keys of a budgeted selection of at most BOUND rows (an error beyond; membership_digest has no
+    bound)."""
     line = F.concat(F.concat_ws("\x00", *[F.col(k).cast("string") for k in keys]), F.lit("\n"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("digest"))
+    few = rows.select(line.alias("l")).limit((bound or BOUND) + 1)
+    too_many = F.raise_error(F.lit("too many rows for one sorted list")).cast("string")
+    return few.agg(F.when(F.count("*") > (bound or BOUND), too_many).otherwise(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), ""), 256)).alias("digest"))
 
 
 def ordered_content_hash(rows: DataFrame, position: str, texts: list[str]) -> str:
@@ -112,3 +136,11 @@ def pack_bins(rows: DataFrame, cost: str, key: str, bins: int) -> DataFrame:
     kind = dict(rows.dtypes)[key]
     few = rows.select(F.col(key).alias("__key"), F.col(cost).cast("double").alias("__cost"), F.lit(0).alias("__all"))
     return few.groupBy("__all").applyInPandas(run, f"{key} {kind}, bin int")
+
+
+def hash_probe(rows: DataFrame, group: str, keys: list[str], k: int, seed: int = 23) -> DataFrame:
+    """The k rows of each group with the lowest sha256 of seed and keys; Spark keeps k rows a task and group before the
+    shuffle."""
+    score = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys]), 256)
+    place = F.row_number().over(Window.partitionBy(group).orderBy("__h", *keys))
+    return rows.withColumn("__h", score).withColumn("probe", place).filter(F.col("probe") <= k).drop("__h")

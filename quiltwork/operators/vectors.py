@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +32,39 @@ def all_finite(a: Column) -> Column:
     return F.forall(a, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
 
 
+def vector_sums(rows: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """(group, n, total): component-wise sums in double. A task adds its vectors up as arrays and sends one row a group; the
+    partial sums are added up the same way. Vectors of a group have one length; null vectors are left out."""
+    kind = dict(rows.dtypes)[group]
+    schema = f"`{group}` {kind}, n long, total array<double>"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        own_kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            own_kind, coded = batch.column(0).type, batch.column(0).dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy()
+            for c, name in enumerate(coded.dictionary.to_pylist()):
+                own = codes == c
+                n, total = sums.get(name, (0, 0.0))
+                sums[name] = (n + int(own.sum()), total + x[own].sum(axis=0))
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), own_kind), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tolist() for _, t in sums.values()], pa.list_(pa.float64()))], names=[group, "n", "total"])
+
+    def final(table: pa.Table) -> pa.Table:
+        total = np.sum(np.array(table.column("total").to_pylist(), float), axis=0)
+        return pa.table({group: table.column(group).slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "total": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    return rows.filter(F.col(vector).isNotNull()).select(group, vector).mapInArrow(partial, schema).groupBy(group).applyInArrow(final, schema)
+
+
 def mean_vectors(rows: DataFrame, group: str, vector: str = "embedding", digits: int | None = None) -> DataFrame:
-    """(group, n, mean): component-wise mean in double. Positions are exploded, so the sums are combined where the rows
-    lie and a group of any size costs one row a position and task."""
-    parts = rows.select(group, F.posexplode(vector).alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    value = F.round("m", digits) if digits is not None else F.col("m")
-    pairs = F.array_sort(F.collect_list(F.struct("pos", value.alias("m"))))
-    return parts.groupBy(group).agg(F.max("n").alias("n"), F.transform(pairs, lambda p: p["m"]).alias("mean"))
+    """(group, n, mean): component-wise mean in double, from vector_sums."""
+    value = lambda x: F.round(x / F.col("n"), digits) if digits is not None else x / F.col("n")
+    return vector_sums(rows, group, vector).select(group, "n", F.transform("total", value).alias("mean"))
 
 
 def norm_statistics(rows: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
@@ -42,13 +72,25 @@ def norm_statistics(rows: DataFrame, group: str, vector: str = "embedding") -> D
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.min(n), 6).alias("min_norm"), F.round(F.avg(n), 6).alias("mean_norm"), F.round(F.max(n), 6).alias("max_norm"), F.count_if(n == 0).alias("zero"), F.count_if(~all_finite(F.col(vector))).alias("not_finite"))
 
 
-def kernel(means: DataFrame, key: str, vector: str = "mean") -> DataFrame:
-    """(i, j, s): cosine of every pair of a few hundred task vectors; the small side is paired block-wise by a constant
-    key, never all rows."""
-    unit = means.select(F.lit(1).alias("__one"), F.col(key), normalised(F.col(vector)).alias("u"))
-    a = unit.select("__one", F.col(key).alias("i"), F.col("u").alias("ui"))
-    b = unit.select("__one", F.col(key).alias("j"), F.col("u").alias("uj"))
-    return a.join(b, "__one").select("i", "j", dot(F.col("ui"), F.col("uj")).alias("s"))
+def kernel(means: DataFrame, key: str, vector: str = "mean", most: int = 10_000) -> DataFrame:
+    """(i, j, s): cosine of every pair of a few hundred task vectors, as one product of matrices in one task; more than
+    `most` vectors are an error, as the kernel grows with their square. A zero vector has null cosines."""
+    kind = dict(means.dtypes)[key]
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        if n > most:
+            raise ValueError(f"a kernel of {n} vectors; at most {most}")
+        keys = table.column(key).combine_chunks()
+        x = np.array(table.column(vector).to_pylist(), float).reshape(n, -1)
+        length = np.linalg.norm(x, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            u = x / length[:, None]
+        s = u @ u.T
+        i, j = np.divmod(np.arange(n * n), n)
+        return pa.table({"i": keys.take(pa.array(i)), "j": keys.take(pa.array(j)), "s": pa.array(s.ravel(), from_pandas=True)})
+
+    return means.select(key, vector, F.lit(0).alias("__all")).groupBy("__all").applyInArrow(run, f"i {kind}, j {kind}, s double")
 
 
 def positivity(rows: DataFrame, group: str, vector: str = "embedding", margin: float = 1e-6) -> DataFrame:

@@ -54,10 +54,10 @@ def queries():
         "proj_p1_task_id": _raw(lambda r: r.select("source_file", F.concat_ws("::", F.split_part("source_file", F.lit("/"), F.lit(1)), F.regexp_extract(F.split_part("source_file", F.lit("/"), F.lit(2)), r"^[^_]+_(.*?)(?:\.\d+)?\.json$", 1)).alias("task_id")).distinct()),
         "proj_p5_label_codes": _label_codes,
         "proj_p6_dense_index": _dense_index,
-        "proj_p7_preview": _raw(lambda r: r.filter("length(inputs) > 300").select("row_id", fn.preview(F.col("inputs"), 120).alias("preview"), fn.preview(F.col("inputs"), 120, False).alias("plain"))),
+        "proj_p7_preview": _raw(lambda r: r.select("row_id", fn.preview(F.col("inputs"), 120).alias("preview"), fn.preview(F.col("inputs"), 120, False).alias("plain"))),
         "proj_p8_safe_name": lambda spark, d: table(spark, d, "task_catalog").select("task_id", fn.safe_name(F.col("task_id")).alias("safe"), fn.slug(F.col("task_id")).alias("slug")),
         "join_j9_key_decode": _decoded,
-        "fn_c1_strip": _raw(lambda r: r.filter("targets is not null").select("row_id", F.length(fn.strip(F.col("targets"))).alias("n"), fn.is_blank(F.col("targets")).alias("blank"))),
+        "fn_c1_strip": _raw(lambda r: r.select("row_id", F.length(fn.strip(F.col("targets"))).alias("n"), fn.is_blank(F.col("targets")).alias("blank"))),
         "fn_c4_hash_score": _raw(lambda r: r.select("row_id", fn.hash_score_hex(F.col("task_id"), F.col("split"), F.col("source_index")).alias("score"))),
     }
 
@@ -92,9 +92,9 @@ def oracle_sql():
         "proj_p1_task_id": "SELECT DISTINCT source_file, split_part(source_file, '/', 1) || '::' || regexp_extract(split_part(source_file, '/', 2), '^[^_]+_(.*?)(?:\\.\\d+)?\\.json$', 1) AS task_id FROM raw_examples",
         "proj_p5_label_codes": label,
         "proj_p6_dense_index": "SELECT task_id, row_number() OVER (ORDER BY corpus_position, task_id) - 1 AS dense_index FROM task_catalog",
-        "proj_p7_preview": f"SELECT row_id, {esc('inputs', 120)} AS preview, {pre('inputs').format(n=120)} AS plain FROM raw_examples WHERE length(inputs) > 300",
+        "proj_p7_preview": f"SELECT row_id, {esc('inputs', 120)} AS preview, {pre('inputs').format(n=120)} AS plain FROM raw_examples",
         "proj_p8_safe_name": "SELECT task_id, regexp_replace(task_id, '[^A-Za-z0-9_.-]+', '__', 'g') AS safe, trim(regexp_replace(replace(task_id, '::', '__'), '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS slug FROM task_catalog",
         "join_j9_key_decode": f"WITH l AS ({label}) SELECT l2.corpus, l2.task_id, count(*) AS n FROM mixture m JOIN l ON m.corpus = l.corpus AND m.task_id = l.task_id JOIN l l2 ON l.corpus = l2.corpus AND l.label = l2.label GROUP BY ALL",
-        "fn_c1_strip": f"SELECT row_id, length({strip}) AS n, {_T} AS blank FROM raw_examples WHERE targets IS NOT NULL",
+        "fn_c1_strip": f"SELECT row_id, length({strip}) AS n, {_T} AS blank FROM raw_examples",
         "fn_c4_hash_score": "SELECT row_id, left(sha256('23|' || task_id || '|' || split || '|' || source_index), 16) AS score FROM raw_examples",
     }

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from quiltwork.operators import validity as v
@@ -21,10 +18,6 @@ def _folder(spark) -> str:
     return f"{shared_dir(spark).rstrip('/')}/io/{uuid.uuid4().hex}"
 
 
-def _local(path: str) -> str:
-    return path[5:].replace("//", "/") if path.startswith("file:") else path
-
-
 def _small(spark, d):
     return table(spark, d, "task_allocations").select("task_id", "corpus", "graph_cut_rank", "valid_train_count", "marginal_gain")
 
@@ -32,27 +25,22 @@ def _small(spark, d):
 def _task_files(spark, d) -> str:
     """Task files made of the catalog: an object of two arrays a file, with rows of every kind of defect."""
     root = _folder(spark)
+    row = lambda r, i: [{"inputs": f"{r.task_id} {i}", "targets": "t"}, None, {"inputs": " ", "targets": 3}, {"targets": "x"}, {"inputs": "a", "targets": None}][i % 5]
     for r in table(spark, d, "task_catalog").select("task_index", "task_id", "corpus").collect():
-        folder = os.path.join(_local(root), r.corpus)
-        os.makedirs(folder, exist_ok=True)
-        row = lambda i: [{"inputs": f"{r.task_id} {i}", "targets": "t"}, None, {"inputs": " ", "targets": 3}, {"targets": "x"}, {"inputs": "a", "targets": None}][i % 5]  # noqa: E731, B023
-        with open(os.path.join(folder, f"{r.task_index:04d}.json"), "w", encoding="utf-8") as f:
-            json.dump({"about": {"index": r.task_index}, "train": [row(i) for i in range(r.task_index % 7)], "validation": [row(i) for i in range(3)]}, f)
+        task_json.write_object(f"{root}/{r.corpus}/{r.task_index:04d}.json", {"about": {"index": r.task_index}, "train": [row(r, i) for i in range(r.task_index % 7)], "validation": [row(r, i) for i in range(3)]})
     return root
 
 
 def scan_task_json(spark, d):
     task_json.register(spark)
-    rows = spark.read.format("task_json").load(_local(_task_files(spark, d)))
+    rows = spark.read.format("task_json").load(_task_files(spark, d))
     return rows.groupBy("source_file", "split").agg(F.count("*").alias("n"), F.count_if(v.is_valid()).alias("valid"), F.max("source_index").alias("last"))
 
 
 def scan_npy(spark, d):
     task_json.register(spark)
-    rows = table(spark, d, "embeddings").orderBy("vec_id").select("embedding").toPandas()
-    path = _local(_folder(spark)) + ".npy"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    np.save(path, np.stack(rows["embedding"].to_list()).astype(np.float32))
+    path = _folder(spark)
+    task_json.write_npy(table(spark, d, "embeddings"), "vec_id", "embedding", path)
     read = spark.read.format("npy").option("rowsPerPartition", 128).load(path)
     return read.select("row", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
@@ -97,7 +85,8 @@ def gate_runner(spark, d):
         runner.Stage("counts", lambda s, t: t["valid"].groupBy("task_id").count(), {}, after=("valid",), keys=("task_id",)),
     ]
     first, second = runner.run(spark, root, stages), runner.run(spark, root, stages)
-    return spark.createDataFrame([(s.name, first[s.name], second[s.name], runner.progress(spark, root, stages)) for s in stages], "stage string, first string, second string, done int")
+    rows = {s.name: files.current_table(spark, f"{root}/{s.name}").count() for s in stages}
+    return spark.createDataFrame([(s.name, first[s.name], second[s.name], runner.progress(spark, root, stages), rows[s.name]) for s in stages], "stage string, first string, second string, done int, rows long")
 
 
 def stream_validity(spark, d):
@@ -137,11 +126,11 @@ def oracle_sql():
         "scan_s6_tsv": lines,
         "scan_s8_npy": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
         "scan_s12_lookup": "SELECT task_id, task_index FROM task_catalog WHERE task_index = 7",
-        "scan_s13_log": "SELECT event_id AS optimizer_step, round(value, 4) AS lr FROM events WHERE user_id < 20",
+        "scan_s13_log": "SELECT event_id AS optimizer_step, round(value, 4) AS lr FROM events",
         "sink_k4_jsonl": f"SELECT row_id, r AS reasons, CASE WHEN length(replace(inputs, chr(10), '\\n')) <= 80 THEN replace(inputs, chr(10), '\\n') ELSE left(replace(inputs, chr(10), '\\n'), 80) || '...[truncated]' END AS inputs_preview FROM (SELECT *, {_REASONS} AS r FROM raw_examples) WHERE r <> ''",
         "sink_k5_partitioned": "SELECT corpus, count(*) AS n FROM mixture WHERE split = 'train' GROUP BY corpus",
         "sink_k7_verified": "SELECT task_id, graph_cut_rank FROM task_allocations",
         "sink_k8_many": "SELECT 'a' AS part, count(*) AS n FROM mixture WHERE split = 'train' AND included_in_25000 UNION ALL SELECT 'b', count(*) FROM mixture WHERE split = 'train' UNION ALL SELECT 'c', count(*) FROM mixture WHERE split <> 'train'",
-        "gate_o1_runner": "SELECT * FROM (VALUES ('valid', 'written', 'skipped', 2), ('counts', 'written', 'skipped', 2)) t(stage, first, second, done)",
+        "gate_o1_runner": f"SELECT 'valid' AS stage, 'written' AS first, 'skipped' AS second, 2 AS done, count(*) AS rows FROM raw_examples WHERE {_VALID} UNION ALL SELECT 'counts', 'written', 'skipped', 2, count(DISTINCT task_id) FROM raw_examples WHERE {_VALID}",
         "stream_validity": f"SELECT batch_day, split, count_if({_VALID}) AS valid, count(*) AS n FROM raw_examples GROUP BY ALL",
     }

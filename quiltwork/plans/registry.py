@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quiltwork.plans import assembly, ingest, io, selection, skew, texts
+from quiltwork.plans import assembly, details, ingest, io, selection, skew, texts
 
-MODULES = (skew, ingest, texts, selection, assembly, io)
+MODULES = (skew, ingest, texts, selection, assembly, io, details)
 FLAGSHIP = "entry_allocation"
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -15,7 +16,7 @@ from quiltwork.operators import mixture as mx
 from quiltwork.operators import templates as tp
 from quiltwork.operators import validity as v
 from quiltwork.operators import vectors as vc
-from quiltwork.operators.evaluation import RESULT, leaderboard
+from quiltwork.operators.evaluation import RESULT, leaderboard, result_reasons, run_checks
 from quiltwork.plans import registry, runner
 from quiltwork.sources import files, task_json
 from quiltwork.streaming import validity as sv
@@ -184,8 +185,10 @@ def test_positions_and_shuffle(spark):
 
 def test_digests(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "t string, i long")
-    assert mx.membership_digest(df, ["t", "i"]).first() == mx.membership_digest(df.orderBy(F.desc("i")), ["t", "i"]).first()
-    assert mx.membership_digest(df, ["t", "i"]).first() != mx.membership_digest(df.filter("i < 3"), ["t", "i"]).first()
+    digest = lambda x: sorted(map(tuple, mx.membership_digest(x, "t", ["t", "i"]).collect()), key=str)
+    assert digest(df) == digest(df.orderBy(F.desc("i"))) and digest(df) != digest(df.filter("i < 3"))
+    with pytest.raises(Exception, match="too many"):
+        mx.sorted_membership_hash(df, ["t", "i"], bound=1).collect()
     assert mx.ordered_content_hash(df, "i", ["t"]) != mx.ordered_content_hash(df.withColumn("i", -F.col("i")), "i", ["t"])
 
 
@@ -285,3 +288,54 @@ def test_engines_agree(spark):
         assert (got["next_bound"] <= got["gain"] + 2e-9).all() and list(got["ties"]) == list(want["ties"])
     assert gr.order_pool(rows.limit(0), "k", 5).collect() == [] and gr.order_pool(rows.limit(2), "k", 5).count() == 2
     assert gr.engine(5000, 1024) == "exact_dense" and gr.engine(5001, 1024) == "matrix_free" and gr.engine(10**6, 1024) == "distributed"
+
+
+def test_ranks_inside_a_hot_group(spark):
+    rng = random.Random(4)
+    data = [(i, None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", rng.randrange(40)) for i in range(600)]
+    df = spark.createDataFrame(data, "i long, g string, x long").repartition(5)
+    want = {}
+    for g in {r[1] for r in data}:
+        for k, r in enumerate(sorted((r for r in data if r[1] == g), key=lambda r: (r[2], r[0])), 1):
+            want[r[0]] = k
+    assert {r.i: r.rank for r in mx.rank_within(df, "g", ["x", "i"]).collect()} == want
+    order = [r.i for r in mx.hash_order(df.select(F.col("i").alias("position"), "i"), 23).orderBy("final_position").collect()]
+    assert order == sorted(range(600), key=lambda i: hashlib.sha256(f"23|{i}".encode()).hexdigest())
+    probes = mx.hash_probe(df.filter("g is not null"), "g", ["g", "i"], 2).collect()
+    assert {(r.g, r.i) for r in probes} == {(g, i) for g in {r[1] for r in data if r[1]} for i in sorted((r[0] for r in data if r[1] == g), key=lambda i: hashlib.sha256(f"23|{g}|{i}".encode()).hexdigest())[:2]}
+    assert mx.rank_within(df.limit(0), "g", ["x"]).collect() == []
+    with pytest.raises(ValueError, match="at most"):
+        mx.shuffle(df, 1, mx.BOUND + 1)
+
+
+def test_kernel_and_sums(spark):
+    x = np.random.default_rng(3).normal(size=(9, 4))
+    df = spark.createDataFrame([(i % 3, v.tolist()) for i, v in enumerate(x)] + [(1, None)], "g int, embedding array<double>").repartition(4)
+    for r in vc.vector_sums(df, "g").collect():
+        assert r.n == 3 and np.allclose(r.total, x[r.g :: 3].sum(axis=0))
+    assert vc.vector_sums(df.limit(0), "g").collect() == []
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k int, mean array<double>")
+    assert all(abs(r.s - u[r.i] @ u[r.j]) < 1e-12 for r in vc.kernel(few, "k").collect())
+    with pytest.raises(Exception, match="at most 5"):
+        vc.kernel(few, "k", most=5).collect()
+
+
+def test_npy_folder(spark, tmp_path):
+    task_json.register(spark)
+    x = np.random.default_rng(1).normal(size=(50, 3)).astype(np.float32)
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in np.random.default_rng(2).permutation(50)], "k long, v array<float>").repartition(6)
+    assert task_json.write_npy(df, "k", "v", f"file://{tmp_path}/n") == 50
+    got = spark.read.format("npy").option("rowsPerPartition", 7).load(f"file://{tmp_path}/n").orderBy("row").collect()
+    assert [r.row for r in got] == list(range(50)) and np.array_equal(np.array([r.vector for r in got], np.float32), x)
+
+
+def test_result_reasons_and_run_checks(spark):
+    entry = {"acc,none": 0.5}
+    data = [("a", {"t": entry}, {}), ("b", {}, {}), ("c", {"t": {"x": 1.0}}, {}), ("d", {"t": {"acc": float("nan")}}, {}), ("e", {"t": {"acc": 1.5}}, {}), ("f", {"t": {"acc": 9.0}}, {"t": entry})]
+    df = spark.createDataFrame([(m, "full", 1, r, g) for m, r, g in data], RESULT)
+    assert {(r.model, r.reason) for r in result_reasons(df, {"t": "acc"}).collect()} == {("b", "missing_task"), ("c", "missing_metric"), ("d", "not_finite"), ("e", "out_of_range")}
+    points = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.2), (2, 1, 0.1), (2, 1, 0.1), (3, 4, -0.1), (3, 5, float("nan")), (4, 1, 0.1)], "run int, step int, lr double")
+    want = spark.createDataFrame([(1, 2), (2, 1), (3, 9), (5, 1)], "run int, last_step int")
+    assert {tuple(r) for r in run_checks(points, want).collect()} == {(2, "repeated_step"), (3, "wrong_last_step"), (3, "rate_not_finite"), (3, "rate_negative"), (4, "not_expected"), (5, "no_points")}
+    assert run_checks(points.limit(0), want.limit(0)).collect() == []
