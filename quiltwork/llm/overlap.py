@@ -33,8 +33,8 @@ from quiltwork.session import release, spread, staged
 
 BUCKETS = 1 << 16
 RADIUS = 22
-RECALL = 0.99
-KEEP = 0.75  # share of edits at one word in eight that spare one word of a block on both sides: (7/8)^2 less what rounding takes
+RECALL = 0.999
+KEEP = 0.76  # share of edits at one word in eight that spare one word of a block on both sides: (7/8)^2 less what rounding takes
 CHUNK = 8192
 # Scripts without spaces between words count by character.
 _WORD = re.compile(r"\d+(?:[.,]\d+)+|[぀-ヿ一-鿿가-힯]|[^\W_぀-ヿ一-鿿가-힯]+")
@@ -134,11 +134,14 @@ class Fingerprints:
             for start in range(0, len(words), CHUNK):
                 if len(self.rows) > self.most:
                     self.rows.clear()
-                at = []
-                for w in words[start : start + CHUNK]:
-                    again = seen[w] = seen.get(w, 0) + 1
-                    w = w if again == 1 else f"{w}\x00{again}"
-                    at.append(self.rows[w] if w in self.rows else self._row(w))
+                part = words[start : start + CHUNK]
+                if len(words) > CHUNK or len(set(part)) < len(part):
+                    for i, w in enumerate(part):
+                        again = seen[w] = seen.get(w, 0) + 1
+                        if again > 1:
+                            part[i] = f"{w}\x00{again}"
+                rows = self.rows
+                at = [rows[w] if w in rows else self._row(w) for w in part]
                 sums[k] += self.signs[at].sum(axis=0, dtype=np.int64)
                 own = np.concatenate([own, self.places[at]]) if len(own) else self.places[at]
                 if len(own) > self.m:
