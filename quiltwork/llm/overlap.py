@@ -33,7 +33,7 @@ from quiltwork.session import release, spread, staged
 
 BUCKETS = 1 << 16
 RADIUS = 22
-RECALL = 0.999
+RECALL = 0.9999
 KEEP = 0.76  # share of edits at one word in eight that spare one word of a block on both sides: (7/8)^2 less what rounding takes
 CHUNK = 8192
 # Scripts without spaces between words count by character.
@@ -77,9 +77,9 @@ def bucket_counts(rows: DataFrame, prompt: str, response: str) -> tuple[np.ndarr
 
 
 def plan_blocks(rows: int, recall: float = RECALL) -> tuple[int, int]:
-    """(words a block, number of blocks) for a table of so many rows: 4 words up to about 1,000 rows and two more for each factor of
-    ten, as records of one template share some four words in ten and would meet ever more often otherwise; as many blocks as it takes for one of them to be spared with the wanted probability, each with KEEP ** words."""
-    m = max(4, round(2 * math.log10(max(rows, 1))) - 2)
+    """(words a block, number of blocks) for a table of so many rows: 4 words up to about 1,000 rows and three more for each factor of
+    a hundred, as records of one template share some four words in ten and would meet ever more often otherwise; as many blocks as it takes for one of them to be spared with the wanted probability, each with KEEP ** words."""
+    m = max(4, round(1.5 * math.log10(max(rows, 1)) - 0.5))
     return m, math.ceil(math.log(1 - recall) / math.log(1 - KEEP**m))
 
 
@@ -112,14 +112,18 @@ class Fingerprints:
     def __init__(self, m: int, blocks: int, most: int = 1 << 15):
         self.m, self.blocks, self.most, self.rows = m, blocks, most, {}
         self.places, self.signs = np.zeros((1024, blocks), np.uint32), np.zeros((1024, 64), np.int8)
+        self.salts = np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def _row(self, word: str) -> int:
         at = len(self.rows)
         if at == len(self.places):
             self.places, self.signs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.places, self.signs))
-        raw = hashlib.shake_128(word.encode("utf-8", "replace")).digest(8 + 4 * self.blocks)
+        raw = hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=16).digest()
         self.signs[at] = np.unpackbits(np.frombuffer(raw[:8], np.uint8)).view(np.int8) * 2 - 1
-        self.places[at] = np.frombuffer(raw[8:], "<u4")
+        x = np.frombuffer(raw[8:], "<u8") + self.salts  # one well-mixed number a permutation
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        self.places[at] = (x ^ x >> np.uint64(31)) >> np.uint64(32)
         self.rows[word] = at
         return at
 

@@ -91,7 +91,7 @@ def test_crowds_are_dealt_out(spark, monkeypatch):
 
 
 def test_blocks_follow_the_rows(monkeypatch):
-    assert [overlap.plan_blocks(n) for n in (0, 1000, 100_000, 10**9)] == [(4, 18), (4, 18), (8, 59), (16, 555)]
+    assert [overlap.plan_blocks(n) for n in (0, 1000, 100_000, 10**9)] == [(4, 23), (4, 23), (7, 59), (13, 322)]
     x = np.random.default_rng(2).integers(0, 2**32, (50, 5, 3), np.uint32)
     bits = (x[..., None] >> np.arange(32, dtype=np.uint32) & 1).sum(1) > 2.5
     assert ((overlap._majority(x)[..., None] >> np.arange(32, dtype=np.uint32) & 1).astype(bool) == bits).all()
