@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quiltwork.functions.text import tidy_lang
 from quiltwork.llm import copies, defects, ledger, mixing, overlap, residue, subset, tokenizer
+from quiltwork.operators import lengths
 from quiltwork.operators.manifest import valid_rows
 from quiltwork.session import shared_dir
 from quiltwork.sources.tables import table
@@ -67,6 +68,15 @@ def p9_validation(spark, d):
     return spark.createDataFrame([tuple(report.values())], "train_segments long, train_positive long, unseen_segments long, unseen_positive long, precision double, recall double")
 
 
+def token_audit(spark, d, limit=128):
+    """The length audit under byte_bpe_50k: prompt and prompt with response in tokens of the vocabulary, not in words."""
+    text = F.concat(F.coalesce("prompt", F.lit("")), F.lit(" "), F.coalesce("response", F.lit("")))
+    rows = table(spark, d, "mixture").select("mix_id", "split", F.col("prompt").alias("__p"), text.alias("__f"))
+    sized = lengths.with_supervision(tokenizer.with_token_counts(rows, {"prompt_len": "__p", "full_len": "__f"}), limit)
+    counts = lengths.threshold_counts(sized, ["split"], limit)
+    return counts.join(lengths.retention(sized, ["split"]).select("split", F.col("mean").alias("kept_mean")), "split")
+
+
 def _train(spark, d):
     return table(spark, d, "mixture").filter("split = 'train'").select("mix_id", "prompt", "task_id", "stage2_method")
 
@@ -78,6 +88,7 @@ def queries():
         "p3_token_totals": p3_token_totals,
         "p3_updated_totals": p3_updated_totals,
         "p3_counts": p3_counts,
+        "dom_d32_token_audit": token_audit,
         "p4_found": lambda spark, d: defects.find_defects(table(spark, d, "raw_examples")),
         "p5_subset": lambda spark, d: subset.choose_k(_train(spark, d), 1000),
         "p5_by_task": lambda spark, d: subset.choose_by_task(_train(spark, d), table(spark, d, "task_allocations")),
