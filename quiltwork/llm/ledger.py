@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quiltwork.llm.hot import attach
 from quiltwork.llm.tokenizer import DEFAULT_PATH, vocabulary_hash, with_token_counts
-from quiltwork.session import staged
+from quiltwork.session import release, staged
 from quiltwork.sources.files import read_bytes, replace_table, write_bytes
 
 
@@ -100,9 +100,10 @@ def _counted(docs: DataFrame, key: str, texts: list[str], slices: list[str], pat
     for t in texts:
         c = f"{t}__content"
         sized = state.groupBy(c).agg(F.count("*").alias("__rows")).join(mine.withColumnRenamed("content", c), c)
-        state = attach(state, sized.withColumnRenamed("n_tokens", f"{t}_tokens"), [c], "__rows", total).drop("__rows")
+        done, state = state, staged(attach(state, sized.withColumnRenamed("n_tokens", f"{t}_tokens"), [c], "__rows", total).drop("__rows"), "contents")
+        release(done)
     order = [key, *slices, *[f"{t}__content" for t in texts], *[f"{t}_tokens" for t in texts]]
-    return counts, staged(state.select(*order), "ledger")
+    return counts, state.select(*order)
 
 
 def _signed(state: DataFrame, sign: int, texts: list[str], slices: list[str]) -> DataFrame:
